@@ -19,6 +19,8 @@ from .sizes import attach_one_row, is_small_input
 # Rank error of an approximate quantile is at most rows/ACCURACY, well under a step.
 ACCURACY = 10_000
 STEPS = 2_000
+# Up to this many values the built-in exact percentile is used.
+DIRECT_ROWS = 5_000_000
 
 
 def exact_quantiles(
@@ -27,7 +29,8 @@ def exact_quantiles(
     """One row with a linearly interpolated quantile per name in ``wanted``."""
     values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
     if narrow is None:
-        narrow = not is_small_input(values)
+        # The size estimate of a join is often far too high: count before giving up on one pass.
+        narrow = not is_small_input(values) and values.count() > DIRECT_ROWS
     if not narrow:
         return values.agg(*[F.percentile("v", F.lit(q)).alias(name) for name, q in wanted.items()])
     parts = [_by_narrowing(values, q, name) for name, q in wanted.items()]

@@ -28,11 +28,14 @@ class Series:
 
     ``order`` starts with the time column and ends with columns that make the
     order total. ``slot`` is the grain of time at which a long history may be cut.
+    ``one_per_slot`` marks tables aggregated to one row per key and slot: the
+    calendar bounds a key's rows, so its size is not checked.
     """
 
     keys: tuple[str, ...]
     order: tuple[str, ...]
     slot: str = "day"
+    one_per_slot: bool = False
 
     def ordering(self, descending: bool = False) -> list[Column]:
         return [F.desc(c) if descending else F.asc(c) for c in self.order]
@@ -54,7 +57,7 @@ def over_history(
     descending series). ``compute`` must keep all columns and rows it is given.
     """
     chunk_rows = max(int_conf(df, CHUNK_ROWS_CONF, CHUNK_ROWS), depth + 1)
-    oversized = oversized_keys(df, series.keys, chunk_rows)
+    oversized = None if series.one_per_slot else oversized_keys(df, series.keys, chunk_rows)
     if oversized is None:
         return compute(df, series.window(descending))
     cut = _cut(df, series, oversized, chunk_rows, depth, descending)

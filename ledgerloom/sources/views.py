@@ -17,7 +17,9 @@ RATE_SERIES = Series(("ticker",), ("date", "event_id"), "hour")
 REPO_SERIES = Series(("instrument_type",), ("date", "event_id"), "hour")
 PANEL_SERIES = Series(("ticker",), ("date", "order_id", "line_no", "counterparty_id"), "day")
 LOAN_SERIES = Series(("counterparty_id", "ticker"), ("date", "order_id", "line_no"), "day")
-PORTFOLIO_SERIES = Series(("portfolio_id",), ("date",), "day")
+PORTFOLIO_SERIES = Series(("portfolio_id",), ("date",), "day", one_per_slot=True)
+# One row per day in all: a window without keys over it is bounded by the calendar.
+MACRO_DAYS = Series((), ("date",), "day", one_per_slot=True)
 
 # Asset classes by product type.
 ASSET_CLASS = {
