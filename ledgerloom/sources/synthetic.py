@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _uniform(*parts: Column) -> Column:
-    """A repeatable number in (0, 1) from a hash, the same on any partitioning."""
-    return (F.pmod(F.xxhash64(*parts), F.lit(2**31 - 2)) + 1) / F.lit(float(2**31))
-
-
-def _normal(key: Column, i: Column, seed: int) -> Column:
-    u = _uniform(key, i, F.lit(seed))
-    v = _uniform(key, i, F.lit(seed + 1))
-    return F.sqrt(-2 * F.log(u)) * F.cos(F.lit(6.283185307179586) * v)
+from ..functions.random import normal
 
 
 def random_walk_panel(
@@ -25,7 +16,7 @@ def random_walk_panel(
     The floor makes the walk recursive, so it is folded per instrument over an
     array of ``days`` steps, a fixed length.
     """
-    shocks = F.transform(F.sequence(F.lit(1), F.lit(days)), lambda i: _normal(F.col(key), i, seed) * step)
+    shocks = F.transform(F.sequence(F.lit(1), F.lit(days)), lambda i: normal(seed, F.col(key), i) * step)
     walk = F.aggregate(
         shocks,
         F.array(F.col(base).cast("double")),
