@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sizes import broadcast_if_small
+
 OBJECTIVES = ["f1", "f2", "f3"]
 
 
@@ -29,7 +31,8 @@ def _undominated(points: np.ndarray, by: np.ndarray) -> np.ndarray:
 def _local_front(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     front = None
     for pdf in batches:
-        front = pdf if front is None else pd.concat([front, pdf], ignore_index=True)
+        front = pdf if front is None else pd.concat([front, pdf])
+        front = front.drop_duplicates(ignore_index=True)
         pts = front[OBJECTIVES].to_numpy(dtype=float)
         # Sorting by the sum first lets strong points clear the rest early.
         order = np.argsort(pts.sum(1), kind="stable")
@@ -62,26 +65,26 @@ def _slice_front(own: pd.DataFrame, earlier: pd.DataFrame) -> pd.DataFrame:
 def pareto_front(candidates: DataFrame, slices: int = 32) -> DataFrame:
     """Candidates (id, f1, f2, f3) that no other candidate dominates.
 
-    Each partition keeps its own front first. The survivors are sliced by the
-    first objective; a slice needs its own points and only the staircase of
-    second and third objectives of the slices before it. Nothing is compared
-    all against all across partitions.
+    Each partition reduces its distinct points to their own front. What
+    survives is sliced by the first objective; a slice needs its own points and
+    only the staircase of second and third objectives of the slices before it.
+    Candidates rejoin at the end, so many candidates at one point cost one.
     """
-    schema = candidates.select("id", *OBJECTIVES).schema
-    local = candidates.select("id", *OBJECTIVES).mapInPandas(_local_front, schema)
+    points = "f1 double, f2 double, f3 double"
+    local = candidates.select(*OBJECTIVES).mapInPandas(_local_front, points).distinct()
     cuts = local.agg(
         F.percentile_approx("f1", F.array(*[F.lit(i / slices) for i in range(1, slices)]), F.lit(1000)).alias("cuts")
     )
     number = F.size(F.filter("cuts", lambda c: c < F.col("f1")))
-    sliced = local.crossJoin(F.broadcast(cuts)).select("id", *OBJECTIVES, number.alias("slice"))
+    sliced = local.crossJoin(F.broadcast(cuts)).select(*OBJECTIVES, number.alias("slice"))
     stairs = sliced.groupBy("slice").applyInPandas(_staircase, "slice int, f2 double, f3 double")
-    later = stairs.select(
-        F.explode(F.sequence(F.col("slice") + 1, F.lit(slices))).alias("slice"), "f2", "f3"
-    ).where(F.col("slice") < slices)
-    fronts = sliced.groupBy("slice").cogroup(later.groupBy("slice"))
-    return fronts.applyInPandas(
-        lambda own, earlier: _slice_front(own, earlier)[["id", *OBJECTIVES]], schema
+    later = stairs.where(F.col("slice") < slices - 1).select(
+        F.explode(F.sequence(F.col("slice") + 1, F.lit(slices - 1))).alias("slice"), "f2", "f3"
+    )
+    fronts = sliced.groupBy("slice").cogroup(later.groupBy("slice")).applyInPandas(
+        lambda own, earlier: _slice_front(own, earlier)[OBJECTIVES], points
     )
+    return candidates.join(broadcast_if_small(fronts), OBJECTIVES).select("id", *OBJECTIVES)
 
 
 def choose(front: DataFrame, weights: tuple[float, float, float]) -> DataFrame:
