@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar, rolling
-from .series import Series, over_history
+from .series import Series, Step, chained, over_history
 from .sizes import broadcast_if_small
 
 
-def lag_features(df: DataFrame, series: Series, column: str, lags=(1, 3, 5, 10, 20)) -> DataFrame:
+def lag_features_step(column: str, lags=(1, 3, 5, 10, 20)) -> Step:
     def compute(d, w):
         return d.select("*", *[F.lag(column, k).over(w).alias(f"{column}_lag_{k}") for k in lags])
 
-    return over_history(df, series, compute, depth=max(lags))
+    return compute, max(lags)
 
 
-def shifted_rolling(df: DataFrame, series: Series, column: str, windows=(5, 10, 20)) -> DataFrame:
-    """Rolling statistics of the rows before the current one, so the target does not leak in."""
+def lag_features(df: DataFrame, series: Series, column: str, lags=(1, 3, 5, 10, 20)) -> DataFrame:
+    return over_history(df, series, *lag_features_step(column, lags))
 
+
+def shifted_rolling_step(column: str, windows=(5, 10, 20)) -> Step:
     def compute(d, w):
         x = F.col(column)
         out = {}
@@ -29,10 +31,15 @@ def shifted_rolling(df: DataFrame, series: Series, column: str, windows=(5, 10,
                 out[f"{column}_roll{n}_{stat}"] = fn(x, w, n, least, skip=1)
         return d.select("*", *[c.alias(name) for name, c in out.items()])
 
-    return over_history(df, series, compute, depth=max(windows))
+    return compute, max(windows)
 
 
-def rate_change_accel(df: DataFrame, series: Series, column: str = "rate_bps") -> DataFrame:
+def shifted_rolling(df: DataFrame, series: Series, column: str, windows=(5, 10, 20)) -> DataFrame:
+    """Rolling statistics of the rows before the current one, so the target does not leak in."""
+    return over_history(df, series, *shifted_rolling_step(column, windows))
+
+
+def rate_change_accel_step(column: str = "rate_bps") -> Step:
     def compute(d, w):
         x = F.col(column)
         d = d.select(
@@ -42,7 +49,11 @@ def rate_change_accel(df: DataFrame, series: Series, column: str = "rate_bps") -
         )
         return d.select("*", rolling.diff(F.col("rate_change_1d"), w, 1).alias("rate_accel_1d"))
 
-    return over_history(df, series, compute, depth=3)
+    return compute, 3
+
+
+def rate_change_accel(df: DataFrame, series: Series, column: str = "rate_bps") -> DataFrame:
+    return over_history(df, series, *rate_change_accel_step(column))
 
 
 def horizon_targets(df: DataFrame, series: Series, column: str, horizons=(1, 3, 5)) -> DataFrame:
@@ -105,8 +116,6 @@ def tenor_spreads(repo: DataFrame) -> DataFrame:
 
 def category_codes(df: DataFrame, column: str, name: str) -> DataFrame:
     """Position of a category in the sorted list of categories, from 0; -1 for NULL."""
-    from pyspark.sql import Window
-
     # One row per category, and a category code fits a byte in the feature tables.
     codes = df.select(column).where(F.col(column).isNotNull()).distinct().select(
         column, (F.row_number().over(Window.orderBy(column)) - 1).alias(name)
@@ -177,8 +186,6 @@ def forecast_alerts(
 
 
 def build_features(df: DataFrame, series: Series, column: str = "rate_bps") -> DataFrame:
-    """Lag, rolling, momentum and calendar features of a repo panel."""
-    df = lag_features(df, series, column)
-    df = shifted_rolling(df, series, column)
-    df = rate_change_accel(df, series, column)
-    return calendar_features(df).dropna(subset=[column])
+    """Lag, rolling, momentum and calendar features of a repo panel; the history is passed once."""
+    steps = chained(lag_features_step(column), shifted_rolling_step(column), rate_change_accel_step(column))
+    return calendar_features(over_history(df, series, *steps)).dropna(subset=[column])

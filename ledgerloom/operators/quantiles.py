@@ -2,19 +2,20 @@
 
 The built-in ``percentile`` gathers every distinct value in one task. For a
 large column the position is narrowed first: approximate quantiles with a known
-rank error bracket the answer, only rows inside the bracket are kept, and the
-step is repeated. What is left is a few
-millionths of the rows.
+rank error bracket the answer, and the next pass looks only inside the bracket.
+Three passes leave a few millionths of the rows, and the bounds are literals
+that the scan can use to skip data. Only numbers reach the driver: a fixed
+count of marks per pass.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizes import attach_one_row, is_small_input
+from .sizes import is_small_input
 
 # Rank error of an approximate quantile is at most rows/ACCURACY, well under a step.
 ACCURACY = 10_000
@@ -33,60 +34,52 @@ def exact_quantiles(
         narrow = not is_small_input(values) and values.count() > DIRECT_ROWS
     if not narrow:
         return values.agg(*[F.percentile("v", F.lit(q)).alias(name) for name, q in wanted.items()])
-    parts = [_by_narrowing(values, q, name) for name, q in wanted.items()]
-    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts)
-
-
-def _by_narrowing(values: DataFrame, q: float, name: str) -> DataFrame:
-    total = values.agg(F.count("v").alias("n"))
-    # Zero-based positions of the two neighbours, relative to the rows kept.
-    state = total.select(
-        "n",
-        F.floor(F.lit(q) * (F.col("n") - 1)).alias("below"),
-        F.ceil(F.lit(q) * (F.col("n") - 1)).alias("above"),
-        (F.lit(q) * (F.col("n") - 1)).alias("position"),
+    found = _narrowed(values, list(wanted.values()))
+    return df.sparkSession.range(1).select(
+        *[F.lit(x).cast("double").alias(name) for name, x in zip(wanted, found)]
     )
-    kept = values
-    for _ in range(2):
-        kept, state = _bracket(kept, state)
-    runs = kept.groupBy("v").agg(F.count(F.lit(1)).alias("k"))
-    upto = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = attach_one_row(runs.withColumn("upto", F.sum("k").over(upto)), state)
-    low = F.min(F.when(F.col("upto") > F.col("below"), F.col("v")))
-    high = F.min(F.when(F.col("upto") > F.col("above"), F.col("v")))
-    part = F.max(F.col("position") - F.floor("position"))
-    return ranked.agg((low + (high - low) * part).alias(name))
-
-
-def _bracket(kept: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    margin = 1.0 / STEPS
-    grid = [i / STEPS for i in range(STEPS + 1)]
-    marks = kept.agg(
-        F.percentile_approx("v", F.array(*[F.lit(g) for g in grid]), F.lit(ACCURACY)).alias("marks"),
-        F.count(F.lit(1)).alias("size"),
-        F.min("v").alias("least"),
-        F.max("v").alias("most"),
-    )
-    def mark(i):
-        return F.element_at("marks", F.least(F.greatest(i, F.lit(1)), F.lit(len(grid))).cast("int"))
-
-    step = F.lit(margin) * F.col("size")
-    at_low = F.floor(F.col("below") / step) + F.lit(1)
-    at_high = F.ceil(F.col("above") / step) + F.lit(1)
-    bounds = marks.crossJoin(F.broadcast(state)).select(
-        F.when(at_low <= 2, F.col("least")).otherwise(mark(at_low - 1)).alias("lo"),
-        F.when(at_high >= len(grid) - 1, F.col("most")).otherwise(mark(at_high + 1)).alias("hi"),
-        "n", "below", "above", "position",
-    )
-    bounded = attach_one_row(kept, bounds)
-    inside = bounded.where(F.col("v").between(F.col("lo"), F.col("hi"))).select("v")
-    skipped = bounded.agg(
-        F.count_if(F.col("v") < F.col("lo")).alias("skipped")
-    )
-    shifted = bounds.crossJoin(F.broadcast(skipped)).select(
-        "n",
-        (F.col("below") - F.col("skipped")).alias("below"),
-        (F.col("above") - F.col("skipped")).alias("above"),
-        "position",
+
+
+def _narrowed(values: DataFrame, qs: list[float]) -> list[float | None]:
+    first = values.agg(F.count("v").alias("n"), _marks(F.col("v")).alias("m")).first()
+    n = first["n"]
+    if n == 0:
+        return [None] * len(qs)
+    places = [q * (n - 1) for q in qs]
+    boxes = [_box(first["m"], n, 0, p) for p in places]
+    inside = [F.when(F.col("v").between(lo, hi), F.col("v")) for lo, hi in boxes]
+    second = values.agg(
+        *[F.count_if(F.col("v") < lo).alias(f"below{i}") for i, (lo, _) in enumerate(boxes)],
+        *[F.count(x).alias(f"n{i}") for i, x in enumerate(inside)],
+        *[_marks(x).alias(f"m{i}") for i, x in enumerate(inside)],
+    ).first()
+    boxes = [_box(second[f"m{i}"], second[f"n{i}"], second[f"below{i}"], p) for i, p in enumerate(places)]
+    return [_pick(values, box, p) for box, p in zip(boxes, places)]
+
+
+def _marks(x):
+    return F.percentile_approx(x, F.array(*[F.lit(i / STEPS) for i in range(STEPS + 1)]), F.lit(ACCURACY))
+
+
+def _box(marks: list[float], size: int, skipped: int, place: float) -> tuple[float, float]:
+    """Values that surround a zero-based place, a step wider than the rank error."""
+    low, high = math.floor(place) - skipped, math.ceil(place) - skipped
+    at_low = max(0, math.floor(low / size * STEPS) - 1)
+    at_high = min(STEPS, math.ceil((high + 1) / size * STEPS) + 1)
+    return marks[at_low], marks[at_high]
+
+
+def _pick(values: DataFrame, box: tuple[float, float], place: float) -> float:
+    lo, hi = box
+    if lo == hi:
+        return lo
+    skipped = values.where(F.col("v") < lo).count()
+    runs = values.where(F.col("v").between(lo, hi)).groupBy("v").agg(F.count(F.lit(1)).alias("k"))
+    upto = F.sum("k").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    low, high = math.floor(place) - skipped, math.ceil(place) - skipped
+    row = (
+        runs.withColumn("upto", upto)
+        .agg(F.min(F.when(F.col("upto") > low, F.col("v"))), F.min(F.when(F.col("upto") > high, F.col("v"))))
+        .first()
     )
-    return inside, shifted
+    return row[0] + (row[1] - row[0]) * (place - math.floor(place))

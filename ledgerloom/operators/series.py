@@ -44,6 +44,20 @@ class Series:
         return Window.partitionBy(*self.keys).orderBy(*self.ordering(descending))
 
 
+Step = tuple[Callable[[DataFrame, WindowSpec], DataFrame], int]
+
+
+def chained(*steps: Step) -> Step:
+    """Several (compute, depth) steps as one, so that they share one pass over the history."""
+
+    def compute(d: DataFrame, w: WindowSpec) -> DataFrame:
+        for step, _ in steps:
+            d = step(d, w)
+        return d
+
+    return compute, sum(depth for _, depth in steps)
+
+
 def over_history(
     df: DataFrame,
     series: Series,

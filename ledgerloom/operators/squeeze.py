@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rolling
 from ..functions.numeric import pct_change, ratio, zscore
-from .series import Series, over_history
+from .series import Series, Step, chained, over_history
 
 
 def join_panels(short_interest: DataFrame, borrow: DataFrame, prices: DataFrame, on: list[str]) -> DataFrame:
@@ -24,31 +24,40 @@ def join_loss(base: DataFrame, others: list[DataFrame], on: list[str], entity: s
     return lost.agg(F.count(F.lit(1)).alias("entities_lost"))
 
 
-def days_to_cover(df: DataFrame, series: Series) -> DataFrame:
+def days_to_cover_step() -> Step:
     def compute(d, w):
         usual = rolling.mean(F.col("volume"), w, 20, 1)
         return d.select("*", ratio(F.col("shares_short"), F.nullif(usual, F.lit(0.0))).alias("days_to_cover"))
 
-    return over_history(df, series, compute, depth=19)
+    return compute, 19
 
 
-def change(df: DataFrame, series: Series, column: str, name: str, k: int = 1) -> DataFrame:
-    return over_history(
-        df, series, lambda d, w: d.select("*", rolling.diff(F.col(column), w, k).alias(name)), depth=k
-    )
+def days_to_cover(df: DataFrame, series: Series) -> DataFrame:
+    return over_history(df, series, *days_to_cover_step())
 
 
-def momentum(df: DataFrame, series: Series, column: str, prefix: str, windows=(5, 10, 20)) -> DataFrame:
-    """Percent change over each of the windows."""
+def change_step(column: str, name: str, k: int = 1) -> Step:
+    return lambda d, w: d.select("*", rolling.diff(F.col(column), w, k).alias(name)), k
 
+
+def change(df: DataFrame, series: Series, column: str, name: str, k: int = 1) -> DataFrame:
+    return over_history(df, series, *change_step(column, name, k))
+
+
+def momentum_step(column: str, prefix: str, windows=(5, 10, 20)) -> Step:
     def compute(d, w):
         x = F.col(column)
         return d.select("*", *[pct_change(x, F.lag(x, n).over(w)).alias(f"{prefix}_{n}") for n in windows])
 
-    return over_history(df, series, compute, depth=max(windows))
+    return compute, max(windows)
 
 
-def volume_ratio(df: DataFrame, series: Series, windows=(10, 20)) -> DataFrame:
+def momentum(df: DataFrame, series: Series, column: str, prefix: str, windows=(5, 10, 20)) -> DataFrame:
+    """Percent change over each of the windows."""
+    return over_history(df, series, *momentum_step(column, prefix, windows))
+
+
+def volume_ratio_step(windows=(10, 20)) -> Step:
     def compute(d, w):
         x = F.col("volume")
         return d.select(
@@ -59,30 +68,31 @@ def volume_ratio(df: DataFrame, series: Series, windows=(10, 20)) -> DataFrame:
             ],
         )
 
-    return over_history(df, series, compute, depth=max(windows) - 1)
+    return compute, max(windows) - 1
 
 
-def borrow_zscore(df: DataFrame, series: Series) -> DataFrame:
+def volume_ratio(df: DataFrame, series: Series, windows=(10, 20)) -> DataFrame:
+    return over_history(df, series, *volume_ratio_step(windows))
+
+
+def borrow_zscore_step() -> Step:
     def compute(d, w):
         x = F.col("borrow_rate")
         z = zscore(x, rolling.mean(x, w, 20, 2), rolling.sd(x, w, 20, 2))
         return d.select("*", z.alias("borrow_rate_zscore"))
 
-    return over_history(df, series, compute, depth=19)
+    return compute, 19
+
+
+def borrow_zscore(df: DataFrame, series: Series) -> DataFrame:
+    return over_history(df, series, *borrow_zscore_step())
 
 
 # Rows per block of the decayed sums: weights stay far inside the double range.
 _BLOCK = 4096
 
 
-def rsi(df: DataFrame, series: Series, price: str = "close", n: int = 14) -> DataFrame:
-    """Relative strength index with Wilder smoothing.
-
-    The smoothing is a decayed sum. Within a block of rows it is a running sum
-    of growing weights scaled back at each row; earlier blocks enter through
-    their closing values. The decay over three blocks leaves nothing a double
-    can hold, so the look-back is bounded and no history is gathered in memory.
-    """
+def rsi_step(series: Series, price: str = "close", n: int = 14) -> Step:
     keep = (n - 1) / n
 
     def compute(d: DataFrame, w) -> DataFrame:
@@ -123,7 +133,18 @@ def rsi(df: DataFrame, series: Series, price: str = "close", n: int = 14) -> Dat
             "__seq", "__block", "__at", "__gain", "__loss", "__gain_in", "__loss_in", "__up", "__down"
         )
 
-    return over_history(df, series, compute, depth=4 * _BLOCK)
+    return compute, 4 * _BLOCK
+
+
+def rsi(df: DataFrame, series: Series, price: str = "close", n: int = 14) -> DataFrame:
+    """Relative strength index with Wilder smoothing.
+
+    The smoothing is a decayed sum. Within a block of rows it is a running sum
+    of growing weights scaled back at each row; earlier blocks enter through
+    their closing values. The decay over three blocks leaves nothing a double
+    can hold, so the look-back is bounded and no history is gathered in memory.
+    """
+    return over_history(df, series, *rsi_step(series, price, n))
 
 
 def _partition_columns(d: DataFrame, series: Series) -> list[str]:
@@ -161,11 +182,14 @@ SQUEEZE_FEATURES = [
 
 
 def build_features(df: DataFrame, series: Series) -> DataFrame:
-    """All squeeze features of a panel."""
-    df = days_to_cover(df, series)
-    df = change(df, series, "utilization_rate", "utilization_change")
-    df = momentum(df, series, "short_interest_ratio", "si_ratio_momentum")
-    df = momentum(df, series, "close", "price_momentum")
-    df = volume_ratio(df, series)
-    df = borrow_zscore(df, series)
-    return rsi(df, series)
+    """All squeeze features of a panel in one pass."""
+    steps = chained(
+        days_to_cover_step(),
+        change_step("utilization_rate", "utilization_change"),
+        momentum_step("short_interest_ratio", "si_ratio_momentum"),
+        momentum_step("close", "price_momentum"),
+        volume_ratio_step(),
+        borrow_zscore_step(),
+        rsi_step(series),
+    )
+    return over_history(df, series, *steps)

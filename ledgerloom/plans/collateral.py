@@ -175,7 +175,10 @@ def _scored(spark, sf):
     return pool.withColumn("quality_score", F.col("rating_score")).withColumn("financing_cost", F.col("cost_of_carry"))
 
 
-_OBJECTIVE = 0.6 * F.col("cost_of_carry") - 0.4 * F.col("quality_score")
+def _objective():
+    return 0.6 * F.col("cost_of_carry") - 0.4 * F.col("quality_score")
+
+
 _SCORED = f"""SELECT *, rating_score AS quality_score, haircut * financing_rate_bps / 10000 AS cost_of_carry,
   haircut * financing_rate_bps / 10000 AS financing_cost FROM ({_RATED})"""
 
@@ -192,13 +195,13 @@ def _fill_sql(cap):
 
 @query("allocation_fill", f"SELECT collateral_id, allocation_weight, allocation_weight > 1e-4 AS recommended FROM ({_fill_sql(0.30)})", "v_pool", "allocation_weight")
 def allocation_fill(spark, sf):
-    out = allocation.allocate(_scored(spark, sf), _OBJECTIVE, cap=0.30)
+    out = allocation.allocate(_scored(spark, sf), _objective(), cap=0.30)
     return out.select("collateral_id", "allocation_weight", "recommended")
 
 
 @query("allocation_infeasible", f"SELECT collateral_id, allocation_weight, allocation_weight > 1e-4 AS recommended FROM ({_fill_sql(0.15)})", "v_pool", "allocation_weight")
 def allocation_infeasible(spark, sf):
-    out = allocation.allocate(_scored(spark, sf), _OBJECTIVE, cap=0.15)
+    out = allocation.allocate(_scored(spark, sf), _objective(), cap=0.15)
     return out.select("collateral_id", "allocation_weight", "recommended")
 
 
@@ -208,7 +211,7 @@ _REC = f"""SELECT *, cost_of_carry * allocation_weight AS optimization_cost,
 
 
 def _recommended(spark, sf):
-    return allocation.recommendations(allocation.allocate(_scored(spark, sf), _OBJECTIVE, cap=0.30))
+    return allocation.recommendations(allocation.allocate(_scored(spark, sf), _objective(), cap=0.30))
 
 
 @query(
@@ -261,7 +264,7 @@ def concentration_alerts(spark, sf):
     "total_cost:9 fee_revenue:9 capital_charge recall_risk_weighted",
 )
 def allocation_totals(spark, sf):
-    return allocation.totals(allocation.allocate(_scored(spark, sf), _OBJECTIVE, cap=0.30))
+    return allocation.totals(allocation.allocate(_scored(spark, sf), _objective(), cap=0.30))
 
 
 _PRICES = [0.0, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import anomaly, collateral, demand, exposure, financing, isolation, macro, models, squeeze
 from ..operators.quantiles import exact_quantiles
 from ..operators.sequences import pad_first_score, sliding_sequences
-from ..operators.series import latest_row, over_history
+from ..operators.series import chained, latest_row, over_history
 from ..operators.sizes import attach_one_row
 from ..session import shared_dir
 from ..sources import views
@@ -19,8 +19,8 @@ IF_FEATURES = ["rate", "rate_zscore_5", "rate_zscore_10", "rate_zscore_20", "rat
 
 @query("isolation_score")
 def isolation_score(spark, sf):
-    rows = anomaly.rate_momentum(anomaly.rolling_zscore(views.rates(spark, sf), RATE_SERIES), RATE_SERIES)
-    rows = rows.select("event_id", "ticker", *IF_FEATURES)
+    steps = chained(anomaly.rolling_zscore_step(), anomaly.rate_momentum_step())
+    rows = over_history(views.rates(spark, sf), RATE_SERIES, *steps).select("event_id", "ticker", *IF_FEATURES)
     forest = isolation.fit(rows, "event_id", IF_FEATURES, trees=100)
     scored = isolation.score(rows, forest, IF_FEATURES)
     raw = scored.withColumn("raw", -F.col("anomaly_raw"))
@@ -87,8 +87,8 @@ SQUEEZE_INPUTS = ["short_interest_ratio", "days_to_cover", "utilization_rate", "
 @query("calibrated_probability")
 def calibrated_probability(spark, sf):
     """Chance that the next price is at least a tenth higher."""
-    panel = views.panel(spark, sf)
-    panel = squeeze.rsi(squeeze.volume_ratio(squeeze.days_to_cover(panel, PANEL_SERIES), PANEL_SERIES), PANEL_SERIES)
+    steps = chained(squeeze.days_to_cover_step(), squeeze.volume_ratio_step(), squeeze.rsi_step(PANEL_SERIES))
+    panel = over_history(views.panel(spark, sf), PANEL_SERIES, *steps)
     panel = over_history(
         panel, PANEL_SERIES, lambda d, w: d.withColumn("next_close", F.lag("close").over(w)), depth=1, descending=True
     )

@@ -7,7 +7,7 @@ from ..operators.sequences import sliding_sequences
 from ..session import shared_dir
 from ..sources import contracts, publish, scan, views
 from ..sources.views import RATE_SERIES
-from .collateral import _OBJECTIVE, _fill_sql, _scored
+from .collateral import _objective, _fill_sql, _scored
 from .registry import query
 
 
@@ -141,7 +141,7 @@ _CONFIG = {"max_concentration_pct": 0.30, "cost_weight": 0.6, "quality_weight":
 )
 def audit_summary(spark, sf):
     """Append a run's audit row to its log and read the log."""
-    chosen = allocation.allocate(_scored(spark, sf), _OBJECTIVE, cap=0.30)
+    chosen = allocation.allocate(_scored(spark, sf), _objective(), cap=0.30)
     costed = chosen.withColumn("optimization_cost", F.col("cost_of_carry") * F.col("allocation_weight"))
     path = shared_dir(spark, "audit")
     row = publish.audit_row(costed, "run-1", _CONFIG)
