@@ -84,8 +84,3 @@ def right_closed_bin(x: Column, edges: list[float]) -> Column:
         inside = (x > F.lit(float(edges[i]))) & (x <= F.lit(float(edges[i + 1])))
         out = F.when(inside, F.lit(i)).otherwise(out)
     return out
-
-
-def rounded(x: Column, digits: int = 6) -> Column:
-    """Round for comparison: the small shift settles exact halves one way in any engine."""
-    return F.round(x.cast("double") + F.lit(1e-9), digits) + F.lit(0.0)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import clip, first_available, min_max
 from .quantiles import exact_quantiles
 from .series import first_row
-from .sizes import attach_one_row, broadcast_if_small
+from .sizes import attach_one_row, broadcast_if_small, fixed_table
 
 # Rating scale from best (1) to worst (18).
 RATING_SCALE = {
@@ -38,7 +38,7 @@ def attach_first(df: DataFrame, source: DataFrame, order: list[str], columns: li
 
 def rating_score(df: DataFrame, rating: str = "rating") -> DataFrame:
     """Ordinal rating (unknown is worst) and its score, best 1 to worst 0."""
-    scale = df.sparkSession.createDataFrame(list(RATING_SCALE.items()), "r string, rating_numeric int")
+    scale = fixed_table(df.sparkSession, list(RATING_SCALE.items()), ["r", "rating_numeric"])
     # The rating scale is a fixed list.
     joined = df.join(F.broadcast(scale), F.trim(F.col(rating)) == F.col("r"), "left").drop("r")
     return joined.withColumn("rating_numeric", F.coalesce("rating_numeric", F.lit(WORST))).withColumn(

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import rolling
 from ..functions.numeric import ratio
+from ..functions.rolling import Rolling
 from .series import Series, over_history
 from .sizes import broadcast_if_small
 
@@ -21,17 +21,17 @@ def demand_features(
     """
 
     def compute(d, w):
-        vol, rate = F.col("borrow_volume"), F.col("borrow_rate")
-        out = {}
+        r, new = Rolling(w), {}
+        vol, rate = "borrow_volume", "borrow_rate"
         for n in windows:
-            out[f"vol_rolling_mean_{n}d"] = rolling.mean(vol, w, n)
-            out[f"vol_rolling_std_{n}d"] = rolling.sd(vol, w, n)
-            out[f"rate_rolling_mean_{n}d"] = rolling.mean(rate, w, n)
-            spread = rolling.sd(rate if rate_scale == "rate" else vol, w, n)
-            out[f"rate_z_{n}d"] = (rate - rolling.mean(rate, w, n)) / (spread + 1e-8)
-        out["vol_mom_1d"] = rolling.diff(vol, w, 1)
-        out["vol_mom_5d"] = rolling.diff(vol, w, 5)
-        return d.select("*", *[c.alias(name) for name, c in out.items()])
+            new[f"vol_rolling_mean_{n}d"] = r.mean(vol, n)
+            new[f"vol_rolling_std_{n}d"] = r.sd(vol, n)
+            new[f"rate_rolling_mean_{n}d"] = r.mean(rate, n)
+            spread = r.sd(rate if rate_scale == "rate" else vol, n)
+            new[f"rate_z_{n}d"] = (F.col(rate) - r.mean(rate, n)) / (spread + 1e-8)
+        new["vol_mom_1d"] = r.diff(vol, 1)
+        new["vol_mom_5d"] = r.diff(vol, 5)
+        return r.add(d, new)
 
     return over_history(df, series, compute, depth=max(windows) - 1)
 

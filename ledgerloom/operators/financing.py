@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import calendar, rolling
+from ..functions import calendar
+from ..functions.rolling import Rolling
 from .series import Series, Step, chained, over_history
 from .sizes import broadcast_if_small
 
@@ -23,13 +24,12 @@ def lag_features(df: DataFrame, series: Series, column: str, lags=(1, 3, 5, 10,
 
 def shifted_rolling_step(column: str, windows=(5, 10, 20)) -> Step:
     def compute(d, w):
-        x = F.col(column)
-        out = {}
+        r, new = Rolling(w), {}
         for n in windows:
             least = max(1, n // 2)
-            for stat, fn in (("mean", rolling.mean), ("std", rolling.sd), ("min", rolling.low), ("max", rolling.high)):
-                out[f"{column}_roll{n}_{stat}"] = fn(x, w, n, least, skip=1)
-        return d.select("*", *[c.alias(name) for name, c in out.items()])
+            for stat, fn in (("mean", r.mean), ("std", r.sd), ("min", r.low), ("max", r.high)):
+                new[f"{column}_roll{n}_{stat}"] = fn(column, n, least, skip=1)
+        return r.add(d, new)
 
     return compute, max(windows)
 
@@ -41,13 +41,10 @@ def shifted_rolling(df: DataFrame, series: Series, column: str, windows=(5, 10,
 
 def rate_change_accel_step(column: str = "rate_bps") -> Step:
     def compute(d, w):
-        x = F.col(column)
-        d = d.select(
-            "*",
-            rolling.diff(x, w, 1).alias("rate_change_1d"),
-            rolling.diff(x, w, 3).alias("rate_change_3d"),
-        )
-        return d.select("*", rolling.diff(F.col("rate_change_1d"), w, 1).alias("rate_accel_1d"))
+        r = Rolling(w)
+        d = r.add(d, {"rate_change_1d": r.diff(column, 1), "rate_change_3d": r.diff(column, 3)})
+        r = Rolling(w)
+        return r.add(d, {"rate_accel_1d": r.diff("rate_change_1d", 1)})
 
     return compute, 3
 

@@ -12,10 +12,11 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import calendar, rolling
-from ..functions.numeric import mean_skipping_null, pct_change, right_closed_bin
+from ..functions import calendar
+from ..functions.numeric import mean_skipping_null, right_closed_bin
+from ..functions.rolling import Rolling
 from .series import Series, latest_rows, over_history
-from .sizes import attach_one_row
+from .sizes import attach_one_row, fixed_table
 
 RATES = ("sofr", "fed_funds", "prime_rate", "iorb")
 SPREADS = ("hy_oas", "ig_oas", "ted_spread", "mortgage_30y")
@@ -26,9 +27,9 @@ STRESS_WEIGHTS = {"ted_spread_z60": 0.30, "vix_z20": 0.25, "hy_oas_z60": 0.30, "
 QUALITY_WEIGHTS = {"ig_oas_z60": 0.40, "curve_level": 0.30, "vix_z20": 0.30}
 
 
-def soft_z(x: Column, w, n: int) -> Column:
+def soft_z(r: Rolling, column: str, n: int) -> Column:
     """Rolling z-score over n full rows with a small constant under the ratio."""
-    return (x - rolling.mean(x, w, n)) / (rolling.sd(x, w, n) + 1e-8)
+    return (F.col(column) - r.mean(column, n)) / (r.sd(column, n) + 1e-8)
 
 
 def _add(d: DataFrame, new: dict[str, Column]) -> DataFrame:
@@ -40,15 +41,14 @@ def level_features(df: DataFrame, series: Series, windows=(5, 10, 20, 60, 120),
     present = [c for c in columns if c in df.columns]
 
     def compute(d, w):
-        new = {}
+        r, new = Rolling(w), {}
         for c in present:
-            x = F.col(c)
             for n in windows:
-                new[f"{c}_ma{n}"] = rolling.mean(x, w, n)
-                new[f"{c}_std{n}"] = rolling.sd(x, w, n)
-                new[f"{c}_z{n}"] = soft_z(x, w, n)
-                new[f"{c}_mom{n}"] = rolling.diff(x, w, n)
-        return _add(d, new)
+                new[f"{c}_ma{n}"] = r.mean(c, n)
+                new[f"{c}_std{n}"] = r.sd(c, n)
+                new[f"{c}_z{n}"] = soft_z(r, c, n)
+                new[f"{c}_mom{n}"] = r.diff(c, n)
+        return r.add(d, new)
 
     out = over_history(df, series, compute, depth=max(windows))
     spreads = {"fed_sofr_spread": "fed_funds", "prime_sofr_spread": "prime_rate", "iorb_sofr_spread": "iorb"}
@@ -90,12 +90,12 @@ def curve_shape(df: DataFrame, series: Series) -> DataFrame:
     slopes = [c for c in ("curve_10y2y", "curve_10y3m") if c in new]
 
     def compute(d, w):
-        more = {}
+        r, more = Rolling(w), {}
         for c in slopes:
             for n in (5, 10, 20):
-                more[f"{c}_mom{n}d"] = rolling.diff(F.col(c), w, n)
-            more[f"{c}_z60"] = soft_z(F.col(c), w, 60)
-        return _add(d, more)
+                more[f"{c}_mom{n}d"] = r.diff(c, n)
+            more[f"{c}_z60"] = soft_z(r, c, 60)
+        return r.add(d, more)
 
     return over_history(out, series, compute, depth=60) if slopes else out
 
@@ -110,12 +110,12 @@ def spread_features(df: DataFrame, series: Series, windows=(60, 120), columns=SP
         new["mbs_basis"] = F.col("mortgage_30y") - F.col("t_10yr")
 
     def compute(d, w):
-        more = {}
+        r, more = Rolling(w), {}
         for c in present:
-            more |= {f"{c}_z{n}": soft_z(F.col(c), w, n) for n in windows}
-            more |= {f"{c}_mom{n}d": rolling.diff(F.col(c), w, n) for n in (5, 10, 20)}
-        more |= {f"{c}_z60": soft_z(F.col(c), w, 60) for c in new}
-        return _add(d, more)
+            more |= {f"{c}_z{n}": soft_z(r, c, n) for n in windows}
+            more |= {f"{c}_mom{n}d": r.diff(c, n) for n in (5, 10, 20)}
+        more |= {f"{c}_z60": soft_z(r, c, 60) for c in new}
+        return r.add(d, more)
 
     return over_history(_add(df, new), series, compute, depth=max(windows))
 
@@ -125,26 +125,23 @@ def liquidity_features(df: DataFrame, series: Series) -> DataFrame:
     have = set(df.columns)
 
     def compute(d, w):
-        new = {}
+        r, new = Rolling(w), {}
         if "vix" in have:
-            new |= {f"vix_z{n}": soft_z(F.col("vix"), w, n) for n in (10, 20, 60)}
-            new["vix_mom5d"] = rolling.diff(F.col("vix"), w, 5)
+            new |= {f"vix_z{n}": soft_z(r, "vix", n) for n in (10, 20, 60)}
+            new["vix_mom5d"] = r.diff("vix", 5)
             new["vix_regime"] = right_closed_bin(F.col("vix"), VIX_EDGES)
         if "rrp_balance" in have:
-            x = F.col("rrp_balance")
-            new["rrp_balance_bn"] = x / 1e9
+            new["rrp_balance_bn"] = F.col("rrp_balance") / 1e9
             for n in (5, 10, 20):
-                new[f"rrp_change{n}d"] = rolling.diff(x, w, n)
-                new[f"rrp_pct_change{n}d"] = pct_change(x, F.lag(x, n).over(w))
-            new["rrp_z60"] = soft_z(x, w, 60)
+                new[f"rrp_change{n}d"] = r.diff("rrp_balance", n)
+                new[f"rrp_pct_change{n}d"] = r.pct("rrp_balance", n)
+            new["rrp_z60"] = soft_z(r, "rrp_balance", 60)
         if "reserve_balances" in have:
-            x = F.col("reserve_balances")
-            new["reserves_yoy"] = pct_change(x, F.lag(x, 252).over(w))
-            new["reserves_z60"] = soft_z(x, w, 60)
+            new["reserves_yoy"] = r.pct("reserve_balances", 252)
+            new["reserves_z60"] = soft_z(r, "reserve_balances", 60)
         if "m2" in have:
-            x = F.col("m2")
-            new["m2_yoy"] = pct_change(x, F.lag(x, 12).over(w))
-        return _add(d, new)
+            new["m2_yoy"] = r.pct("m2", 12)
+        return r.add(d, new)
 
     return over_history(df, series, compute, depth=252)
 
@@ -408,6 +405,6 @@ PLAYBOOK = {
 
 
 def regime_action(df: DataFrame, label: str) -> DataFrame:
-    book = df.sparkSession.createDataFrame(list(PLAYBOOK.items()), f"{label} string, action string")
+    book = fixed_table(df.sparkSession, list(PLAYBOOK.items()), [label, "action"])
     # The playbook is a fixed list.
     return df.join(F.broadcast(book), label, "left")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import lineage_cut
 from .sizes import broadcast_if_small
 
 OBJECTIVES = ["f1", "f2", "f3"]
@@ -84,7 +85,9 @@ def pareto_front(candidates: DataFrame, slices: int = 32) -> DataFrame:
     fronts = sliced.groupBy("slice").cogroup(later.groupBy("slice")).applyInPandas(
         lambda own, earlier: _slice_front(own, earlier)[OBJECTIVES], points
     )
-    return candidates.join(broadcast_if_small(fronts), OBJECTIVES).select("id", *OBJECTIVES)
+    # Written once: its size is then known before the join.
+    found = lineage_cut(fronts, "front")
+    return candidates.join(broadcast_if_small(found), OBJECTIVES).select("id", *OBJECTIVES)
 
 
 def choose(front: DataFrame, weights: tuple[float, float, float]) -> DataFrame:

@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 import glob
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = """
-    scenario_id string, name string, severity string,
-    shocks struct<
+    scenario_id: string, name: string, severity: string,
+    shocks: struct<
         rate_shift_bps: double, sofr_shock_bps: double, short_end_shift_bps: double, long_end_shift_bps: double,
         ig_spread_shock_bps: double, hy_spread_shock_bps: double, sector_spread_shocks: map<string, double>,
         equity_shock_pct: double, name_specific_equity_shocks: map<string, double>,
         bid_ask_multiplier: double, market_depth_reduction_pct: double, demand_surge_factor: double,
         remove_counterparty_ids: array<string>, recall_risk_spillover_factor: double, replacement_cost_bps: double,
         haircut_floor_increase_pp: double, exclude_asset_classes: array<string>>,
-    breach_thresholds map<string, double>
+    breach_thresholds: map<string, double>
 """
 # Accepted severities.
 SEVERITIES = ["Moderate", "Severe", "Extreme", "Regulatory"]
@@ -120,27 +121,20 @@ STANDARD = [
 ]
 
 
-def _shock_fields(spark: SparkSession) -> list[str]:
-    return spark.createDataFrame([], SCHEMA).schema["shocks"].dataType.names
-
-
 def as_table(spark: SparkSession, scenarios: list[dict]) -> DataFrame:
     """Scenario definitions as rows; keys a definition leaves out are NULL."""
-    fields = _shock_fields(spark)
-    rows = []
-    for s in scenarios:
-        shocks = s.get("shocks")
-        given = {k: float(v) if isinstance(v, int) else v for k, v in shocks.items()} if isinstance(shocks, dict) else None
-        rows.append(
-            (
-                s.get("scenario_id"),
-                s.get("name"),
-                s.get("severity"),
-                None if given is None else tuple(given.get(f) for f in fields),
-                {k: float(v) for k, v in (s.get("breach_thresholds") or {}).items()} or None,
-            )
-        )
-    return spark.createDataFrame(rows, SCHEMA)
+    rows = [
+        {
+            "scenario_id": s.get("scenario_id"),
+            "name": s.get("name"),
+            "severity": s.get("severity"),
+            "shocks": s["shocks"] if isinstance(s.get("shocks"), dict) else None,
+            "breach_thresholds": s.get("breach_thresholds") or None,
+        }
+        for s in scenarios
+    ]
+    parsed = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{SCHEMA}>>")
+    return spark.range(1).select(F.inline(parsed))
 
 
 def validated(scenarios: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Inputs below this are an ordinary amount of work for a single task.
@@ -44,6 +44,12 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def fixed_table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A short constant table as a plan of literals, which needs no Python task to read."""
+    structs = [F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def attach_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
     """Attach a one-row aggregate to every row without a shuffle."""
     return df.crossJoin(F.broadcast(one))

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import rolling
-from ..functions.numeric import pct_change, ratio, zscore
+from ..functions.numeric import ratio
+from ..functions.rolling import Rolling
 from .series import Series, Step, chained, over_history
 
 
@@ -26,8 +26,9 @@ def join_loss(base: DataFrame, others: list[DataFrame], on: list[str], entity: s
 
 def days_to_cover_step() -> Step:
     def compute(d, w):
-        usual = rolling.mean(F.col("volume"), w, 20, 1)
-        return d.select("*", ratio(F.col("shares_short"), F.nullif(usual, F.lit(0.0))).alias("days_to_cover"))
+        r = Rolling(w)
+        usual = F.nullif(r.mean("volume", 20, 1), F.lit(0.0))
+        return r.add(d, {"days_to_cover": ratio(F.col("shares_short"), usual)})
 
     return compute, 19
 
@@ -37,7 +38,7 @@ def days_to_cover(df: DataFrame, series: Series) -> DataFrame:
 
 
 def change_step(column: str, name: str, k: int = 1) -> Step:
-    return lambda d, w: d.select("*", rolling.diff(F.col(column), w, k).alias(name)), k
+    return lambda d, w: d.withColumn(name, F.col(column) - F.lag(column, k).over(w)), k
 
 
 def change(df: DataFrame, series: Series, column: str, name: str, k: int = 1) -> DataFrame:
@@ -46,8 +47,8 @@ def change(df: DataFrame, series: Series, column: str, name: str, k: int = 1) ->
 
 def momentum_step(column: str, prefix: str, windows=(5, 10, 20)) -> Step:
     def compute(d, w):
-        x = F.col(column)
-        return d.select("*", *[pct_change(x, F.lag(x, n).over(w)).alias(f"{prefix}_{n}") for n in windows])
+        r = Rolling(w)
+        return r.add(d, {f"{prefix}_{n}": r.pct(column, n) for n in windows})
 
     return compute, max(windows)
 
@@ -59,14 +60,9 @@ def momentum(df: DataFrame, series: Series, column: str, prefix: str, windows=(5
 
 def volume_ratio_step(windows=(10, 20)) -> Step:
     def compute(d, w):
-        x = F.col("volume")
-        return d.select(
-            "*",
-            *[
-                ratio(x, F.nullif(rolling.mean(x, w, n, 1), F.lit(0.0))).alias(f"volume_ratio_{n}")
-                for n in windows
-            ],
-        )
+        r = Rolling(w)
+        usual = {n: F.nullif(r.mean("volume", n, 1), F.lit(0.0)) for n in windows}
+        return r.add(d, {f"volume_ratio_{n}": ratio(F.col("volume"), m) for n, m in usual.items()})
 
     return compute, max(windows) - 1
 
@@ -77,9 +73,8 @@ def volume_ratio(df: DataFrame, series: Series, windows=(10, 20)) -> DataFrame:
 
 def borrow_zscore_step() -> Step:
     def compute(d, w):
-        x = F.col("borrow_rate")
-        z = zscore(x, rolling.mean(x, w, 20, 2), rolling.sd(x, w, 20, 2))
-        return d.select("*", z.alias("borrow_rate_zscore"))
+        r = Rolling(w)
+        return r.add(d, {"borrow_rate_zscore": r.z("borrow_rate", 20, 2)})
 
     return compute, 19
 
@@ -96,16 +91,18 @@ def rsi_step(series: Series, price: str = "close", n: int = 14) -> Step:
     keep = (n - 1) / n
 
     def compute(d: DataFrame, w) -> DataFrame:
-        step = rolling.diff(F.col(price), w, 1)
-        seq = F.row_number().over(w) - 1
         d = d.select(
             "*",
-            seq.alias("__seq"),
-            F.floor(seq / F.lit(_BLOCK)).alias("__block"),
-            (seq % F.lit(_BLOCK)).alias("__at"),
-            F.coalesce(F.greatest(step, F.lit(0.0)), F.lit(0.0)).alias("__gain"),
-            F.coalesce(F.greatest(-step, F.lit(0.0)), F.lit(0.0)).alias("__loss"),
+            (F.row_number().over(w) - 1).alias("__seq"),
+            F.coalesce(F.col(price) - F.lag(price).over(w), F.lit(0.0)).alias("__step"),
         )
+        d = d.select(
+            "*",
+            F.floor(F.col("__seq") / F.lit(_BLOCK)).alias("__block"),
+            (F.col("__seq") % F.lit(_BLOCK)).alias("__at"),
+            F.greatest("__step", F.lit(0.0)).alias("__gain"),
+            F.greatest(-F.col("__step"), F.lit(0.0)).alias("__loss"),
+        ).drop("__step")
         parts = _partition_columns(d, series)
         running = Window.partitionBy(*parts, "__block").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
         grow = F.pow(F.lit(1 / keep), F.col("__at"))

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import rounded
 from ..sources.views import with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +26,8 @@ def query(name: str, sql: str | None = None, views: str = "", nums: str = "", da
     """Register a query.
 
     ``nums`` lists real-valued result columns (``name`` or ``name:digits``) that
-    are rounded alike on both sides; ``dates`` lists dates shown as text.
+    are rounded alike on both sides, after a small shift that settles exact
+    halves one way in any engine; ``dates`` lists dates shown as text.
     """
 
     digits = _digits(nums)
@@ -41,7 +41,7 @@ def query(name: str, sql: str | None = None, views: str = "", nums: str = "", da
             df = fn(spark, sf_dir)
             return df.select(
                 *[
-                    rounded(F.col(c), digits[c]).alias(c)
+                    F.expr(f"round(cast(`{c}` as double) + 1e-9D, {digits[c]}) + 0.0D").alias(c)
                     if c in digits
                     else F.date_format(c, "yyyy-MM-dd").alias(c)
                     if c in day_columns

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import rolling
+from ledgerloom.functions.rolling import Rolling
 from ledgerloom.operators import anomaly, exposure, financing, squeeze
 from ledgerloom.operators.series import (
     Series,
@@ -46,13 +46,8 @@ def hot(spark):
 
 
 def _compute(d, w):
-    x = F.col("x")
-    return d.select(
-        "*",
-        F.lag("x", 7).over(w).alias("lag7"),
-        rolling.mean(x, w, 10, 3).alias("mean10"),
-        rolling.sd(x, w, 20, 2).alias("sd20"),
-    )
+    r = Rolling(w)
+    return r.add(d, {"lag7": r.lag("x", 7), "mean10": r.mean("x", 10, 3), "sd20": r.sd("x", 20, 2)})
 
 
 def _rows(df, digits=9):
