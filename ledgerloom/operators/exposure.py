@@ -50,7 +50,7 @@ def asof_fill(positions: DataFrame, market: DataFrame, column: str, key: str, or
     p = positions.withColumn("__seq", F.lit(1))
     m = market.select(key, order, column).withColumn("__seq", F.lit(0))
     both = p.unionByName(m, allowMissingColumns=True)
-    series = Series((key,), (order, "__seq", tiebreak), "month")
+    series = Series((key,), (order, "__seq", tiebreak), "day")
     known = last_known(both, series, column, f"asof_{column}")
     return known.where(F.col("__seq") == 1).drop("__seq", column)
 

@@ -78,8 +78,8 @@ def calibrated_probability(
         tree = GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, seed=SEED + k)
         model = Pipeline(stages=[assembler(features), tree]).fit(train.where(F.col("__fold") != k))
         held = class_probability(model, train.where(F.col("__fold") == k), "raw")
-        # Raw scores repeat, so calibration sees one weighted point per score.
-        points = held.groupBy("raw").agg(
+        # Calibration gathers its points: at most 10,001 weighted ones, by score to four digits.
+        points = held.groupBy(F.round("raw", 4).alias("raw")).agg(
             F.avg(F.col(label).cast("double")).alias("share"), F.count(F.lit(1)).cast("double").alias("weight")
         )
         fitted = IsotonicRegression(featuresCol="raw", labelCol="share", weightCol="weight").fit(points)

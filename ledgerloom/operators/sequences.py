@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .series import Series, over_history
+from .sizes import broadcast_if_small
 
 
 def sliding_sequences(df: DataFrame, series: Series, column: str, length: int, name: str = "sequence") -> DataFrame:
@@ -24,4 +25,4 @@ def pad_first_score(df: DataFrame, series: Series, score: str) -> DataFrame:
     keys = list(series.keys)
     rank = F.when(F.col(score).isNotNull(), F.struct(*series.order))
     first = df.groupBy(*keys).agg(F.min_by(score, rank).alias("__first"))
-    return df.join(first, keys, "left").withColumn(score, F.coalesce(score, "__first")).drop("__first")
+    return df.join(broadcast_if_small(first), keys, "left").withColumn(score, F.coalesce(score, "__first")).drop("__first")

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..session import lineage_cut
 from .sizes import broadcast_if_small, int_conf, is_small_input
 
 CHUNK_ROWS_CONF = "spark.ledgerloom.chunkRows"
@@ -94,16 +95,30 @@ def oversized_keys(df: DataFrame, keys: tuple[str, ...], limit: int) -> DataFram
 def _cut(
     df: DataFrame, series: Series, oversized: DataFrame, size: int, depth: int, descending: bool
 ) -> DataFrame:
+    """Give every row its chunk, and repeat the rows later chunks look back on.
+
+    Adds the chunk number and whether the row is at home in it; other keys are
+    one chunk.
+    """
     keys = list(series.keys)
     slotted = df.withColumn(_SLOT, F.date_trunc(series.slot, F.col(series.order[0])))
     same_key = [F.col(f"s.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
-    per_slot = (
+    big = broadcast_if_small(oversized).alias("o")
+    per_slot = lineage_cut(
         slotted.select(*keys, _SLOT)
         .alias("s")
-        .join(broadcast_if_small(oversized).alias("o"), same_key, "left_semi")
+        .join(big, same_key, "left_semi")
         .groupBy(*keys, _SLOT)
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n")),
+        "slots",
     )
+    if not per_slot.where(F.col("n") > size).isEmpty():
+        # A single slot is too large as well: time does not divide this history.
+        rest = df.alias("s").join(big, same_key, "left_anti")
+        whole = rest.select("s.*", F.lit(0).cast("long").alias(_CHUNK), F.lit(True).alias(_HOME))
+        hot = df.alias("s").join(big, same_key, "left_semi").select("s.*")
+        return whole.unionByName(_cut_by_position(hot, series, size, depth, descending))
+
     # At most one row per key and calendar slot, so this window is bounded by the calendar.
     slot_order = F.desc(_SLOT) if descending else F.asc(_SLOT)
     running = Window.partitionBy(*keys).orderBy(slot_order).rowsBetween(Window.unboundedPreceding, 0)
@@ -112,6 +127,7 @@ def _cut(
     def chunk_at(position: Column) -> Column:
         return F.floor(position / F.lit(float(size))).cast("long")
 
+    later = F.array(chunk_at(F.col("end")), chunk_at(F.col("end") + F.lit(depth - 1))) if depth else F.array()
     targets = (
         per_slot.withColumn("end", end)
         .withColumn("home", chunk_at(F.col("end") - F.col("n")))
@@ -119,10 +135,7 @@ def _cut(
             *keys,
             _SLOT,
             F.array_distinct(
-                F.filter(
-                    F.array("home", chunk_at(F.col("end")), chunk_at(F.col("end") + F.lit(depth - 1))),
-                    lambda c: c >= F.col("home"),
-                )
+                F.concat(F.array("home"), F.filter(later.cast("array<bigint>"), lambda c: c >= F.col("home")))
             ).alias(_TARGETS),
         )
     )
@@ -132,41 +145,75 @@ def _cut(
         .join(broadcast_if_small(targets).alias("t"), same_slot, "left")
         .select("s.*", F.coalesce(F.col(f"t.{_TARGETS}"), F.array(F.lit(0).cast("long"))).alias(_TARGETS))
     )
+    return _spread(placed.drop(_SLOT))
+
+
+def _spread(placed: DataFrame) -> DataFrame:
+    """One row per target chunk; the first target is the row's home."""
     return (
         placed.select("*", F.explode(_TARGETS).alias(_CHUNK))
         .withColumn(_HOME, F.col(_CHUNK) == F.element_at(_TARGETS, 1))
-        .drop(_TARGETS, _SLOT)
+        .drop(_TARGETS)
     )
 
 
+def _cut_by_position(df: DataFrame, series: Series, size: int, depth: int, descending: bool) -> DataFrame:
+    """Cut by row position, for histories of which one moment holds too many rows.
+
+    A range partitioning over keys and order puts the rows in sequence. It is
+    written down, because its bounds are sampled and must not change between
+    counting the parts and numbering the rows inside them.
+    """
+    keys, part, position = list(series.keys), "__part", "__position"
+    parts = max(2, -(-df.count() // size))
+    ranged = df.repartitionByRange(parts, *[F.asc(k) for k in keys], *series.ordering(descending))
+    ranged = lineage_cut(ranged.withColumn(part, F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, part, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*keys, part]]
+    inside = Window.partitionBy(*keys, part).orderBy(*series.ordering(descending))
+    at = F.col("offset") + F.row_number().over(inside) - 1
+    numbered_rows = (
+        ranged.alias("r").join(broadcast_if_small(offsets).alias("o"), same).select("r.*", "o.offset")
+    ).withColumn(position, at)
+    home = F.floor(F.col(position) / size).cast("long")
+    looked_back_on = F.col(position) % size >= size - depth
+    targets = F.when(looked_back_on, F.array(home, home + 1)).otherwise(F.array(home))
+    return _spread(numbered_rows.withColumn(_TARGETS, targets).drop(part, position, "offset"))
+
+
 def last_known(
     df: DataFrame, series: Series, value: str, name: str, at_or_before: bool = True
 ) -> DataFrame:
     """Latest present ``value`` at or before each row, however far back it lies.
 
-    Two levels: inside a (key, slot) by window, across slots from one row per
-    slot. No task holds more than one slot of a key.
+    An oversized key is cut; its chunks look at their own rows and take over
+    the closing value of the chunks before.
     """
-    keys = list(series.keys)
-    slotted = df.withColumn(_SLOT, F.date_trunc(series.slot, F.col(series.order[0])))
-    rank = F.struct(*[F.col(c) for c in series.order])
-    closing = (
-        slotted.groupBy(*keys, _SLOT)
-        .agg(F.max_by(F.struct(value), F.when(F.col(value).isNotNull(), rank)).alias("closing"))
-        .select(*keys, _SLOT, F.col(f"closing.{value}").alias("closing"))
-    )
-    earlier = Window.partitionBy(*keys).orderBy(_SLOT).rowsBetween(Window.unboundedPreceding, -1)
-    carried = closing.withColumn("carried", F.last("closing", ignorenulls=True).over(earlier)).drop("closing")
-    last_row = 0 if at_or_before else -1
+    keys, last_row = list(series.keys), 0 if at_or_before else -1
+    size = int_conf(df, CHUNK_ROWS_CONF, CHUNK_ROWS)
+    oversized = None if series.one_per_slot else oversized_keys(df, series.keys, size)
+    if oversized is None:
+        w = series.window().rowsBetween(Window.unboundedPreceding, last_row)
+        return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
+    cut = _cut(df, series, oversized, size, 0, descending=False).drop(_HOME)
+    rank = F.when(F.col(value).isNotNull(), F.struct(*series.order))
+    closing = cut.groupBy(*keys, _CHUNK).agg(F.max_by(value, rank).alias("__closing"))
+    earlier = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    carried = closing.select(*keys, _CHUNK, F.last("__closing", ignorenulls=True).over(earlier).alias("__carried"))
+    same = [F.col(f"c.{c}").eqNullSafe(F.col(f"k.{c}")) for c in [*keys, _CHUNK]]
     inside = (
-        Window.partitionBy(*keys, _SLOT)
+        Window.partitionBy(*keys, _CHUNK)
         .orderBy(*series.ordering())
         .rowsBetween(Window.unboundedPreceding, last_row)
     )
     return (
-        slotted.join(carried, [*keys, _SLOT], "left")
-        .withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("carried")))
-        .drop(_SLOT, "carried")
+        cut.alias("c")
+        .join(carried.alias("k"), same, "left")
+        .select("c.*", "k.__carried")
+        .withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("__carried")))
+        .drop(_CHUNK, "__carried")
     )
 
 

@@ -134,13 +134,40 @@ def test_rsi_without_losses_is_100(spark):
     assert out[13:] == [100.0] * 27
 
 
-def test_last_known(hot):
-    pdf = hot.where("k is not null").toPandas().sort_values(["t", "id"])
+@pytest.mark.parametrize("chunk", [None, 40, 300])
+def test_last_known(hot, conf, chunk):
+    known = hot.where("k is not null")
+    pdf = known.toPandas().sort_values(["t", "id"])
     want = pdf.assign(x=pdf.groupby("k")["x"].ffill()).sort_values("id")["x"].to_numpy()
-    got = last_known(hot.where("k is not null"), S, "x", "known").orderBy("id").toPandas()["known"].to_numpy(dtype=float)
+    if chunk:
+        conf(smallInputBytes=0, chunkRows=chunk)
+    got = last_known(known, S, "x", "known").orderBy("id").toPandas()["known"].to_numpy(dtype=float)
     np.testing.assert_array_equal(got, want)
 
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_one_moment_holds_a_third_of_all_rows(spark, conf, descending):
+    """Cutting by time cannot help here, so rows are cut by position."""
+    df = spark.range(1500).select(
+        "id",
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 11).cast("int").alias("k"),
+        F.when(F.col("id") % 3 == 0, F.lit("2024-01-01")).otherwise(F.lit("2024-01-02")).cast("timestamp").alias("t"),
+        ((F.col("id") * 7919) % 1000).cast("double").alias("x"),
+    )
+    plain = _rows(over_history(df, S, _compute, depth=19, descending=descending))
+    known = _rows(last_known(df, S, "x", "known"))
+    conf(smallInputBytes=0, chunkRows=60)
+    largest = {}
+
+    def compute(d, w):
+        largest["n"] = d.groupBy("k", "__chunk").count().agg(F.max("count")).first()[0]
+        return _compute(d, w)
+
+    pd.testing.assert_frame_equal(plain, _rows(over_history(df, S, compute, depth=19, descending=descending)))
+    assert largest["n"] <= 60 + 19
+    pd.testing.assert_frame_equal(known, _rows(last_known(df, S, "x", "known")))
+
+
 def test_asof_fill_is_per_key_and_never_looks_ahead(spark):
     p = spark.createDataFrame([(1, "a", 5), (2, "a", 1), (3, "b", 9)], "order_id int, isin string, d int")
     m = spark.createDataFrame([("a", 2, 10.0), ("a", 5, 20.0), ("b", 10, 30.0)], "isin string, d int, price double")
