@@ -67,15 +67,20 @@ def duration_score(df: DataFrame, as_of: str, maturity: str = "maturity_date") -
     """Modified-duration proxy, short scored high; 0.5 without maturities."""
     if maturity not in df.columns:
         return df.withColumn("duration_score", F.lit(0.5))
+    return scaled_0_1(df, _duration(df, as_of, maturity), "duration_score", invert=True)
+
+
+def _duration(df: DataFrame, as_of: str, maturity: str = "maturity_date") -> Column:
     years = clip(F.datediff(F.col(maturity), F.to_date(F.lit(as_of))) / 365.25, low=0.0)
-    return scaled_0_1(df, years / (1 + first_available(df, ["coupon_rate"], 0.05)), "duration_score", invert=True)
+    return years / (1 + first_available(df, ["coupon_rate"], 0.05))
 
 
 def liquidity_score(df: DataFrame, haircut: str = "haircut") -> DataFrame:
     """Inverse haircut capped at its 99th percentile, scaled to 0..1."""
     if haircut not in df.columns:
         return df.withColumn("liquidity_score", F.lit(0.5))
-    df = percent_to_fraction(df, haircut).withColumn("__inverse", 1.0 / (F.col(haircut) + 1e-6))
+    df = percent_to_fraction(df.withColumn("__inverse", F.col(haircut)), "__inverse")
+    df = df.withColumn("__inverse", 1.0 / (F.col("__inverse") + 1e-6))
     cap = exact_quantiles(df, "__inverse", {"__cap": 0.99})
     capped = attach_one_row(df, cap).withColumn("__inverse", F.least("__inverse", "__cap")).drop("__cap")
     return scaled_0_1(capped, F.col("__inverse"), "liquidity_score").drop("__inverse")
@@ -83,9 +88,8 @@ def liquidity_score(df: DataFrame, haircut: str = "haircut") -> DataFrame:
 
 def cost_of_carry(df: DataFrame, haircut: str = "haircut", rate: str = "financing_rate_bps") -> DataFrame:
     """Haircut times financing rate, and the same scaled to 0..1."""
-    df = df.withColumn(haircut, first_available(df, [haircut], 0.0)).withColumn(rate, first_available(df, [rate], 0.0))
-    df = percent_to_fraction(df, haircut)
-    df = df.withColumn("cost_of_carry", F.col(haircut) * F.col(rate) / 10_000.0)
+    df = percent_to_fraction(df.withColumn("cost_of_carry", first_available(df, [haircut], 0.0)), "cost_of_carry")
+    df = df.withColumn("cost_of_carry", F.col("cost_of_carry") * first_available(df, [rate], 0.0) / 10_000.0)
     return scaled_0_1(df, F.col("cost_of_carry"), "cost_of_carry_norm")
 
 
@@ -108,8 +112,39 @@ QUALITY_FEATURES = [
 
 
 def build_features(df: DataFrame, as_of: str) -> DataFrame:
-    df = cost_of_carry(type_share(liquidity_score(rating_score(duration_score(df, as_of)))))
-    return df.withColumn("eligible", F.col("eligible").cast("int"))
+    """All quality features of a pool that has maturities, haircuts and financing rates.
+
+    The single scores each take their own pass over the pool for its bounds;
+    here one pass gives all bounds and one more the haircut quantile.
+    """
+    haircut, carry = F.coalesce("haircut", F.lit(0.0)), F.col("__carry")
+    raw = rating_score(df).withColumns(
+        {
+            "__md": _duration(df, as_of),
+            "__carry": haircut * F.coalesce("financing_rate_bps", F.lit(0.0)) / 10_000.0,
+        }
+    )
+    bounds = raw.agg(
+        F.min("__md").alias("__md0"), F.max("__md").alias("__md1"), F.max("haircut").alias("__top"),
+        F.min(carry).alias("__carry0"), F.max(carry).alias("__carry1"),
+    )
+    factor = F.when(F.col("__top") > 1, F.lit(0.01)).otherwise(1.0)
+    scaled = attach_one_row(raw, bounds).withColumn("__factor", factor)
+    scaled = scaled.withColumn("__inverse", 1.0 / (F.col("haircut") * F.col("__factor") + 1e-6))
+    cap = exact_quantiles(scaled, "__inverse", {"__cap": 0.99})
+    # The inverse falls with the haircut, so its least value is at the largest one.
+    least = 1.0 / (F.col("__top") * F.col("__factor") + 1e-6)
+    scored = attach_one_row(scaled, cap).withColumns(
+        {
+            "duration_score": F.lit(1.0) - min_max(F.col("__md"), F.col("__md0"), F.col("__md1")),
+            "liquidity_score": min_max(F.least("__inverse", "__cap"), least, F.col("__cap")),
+            "cost_of_carry": carry * F.col("__factor"),
+            "cost_of_carry_norm": min_max(carry, F.col("__carry0"), F.col("__carry1")),
+            "eligible": F.col("eligible").cast("int"),
+        }
+    )
+    kept = [*df.columns, "rating_numeric", "rating_score", "duration_score", "liquidity_score", "cost_of_carry", "cost_of_carry_norm"]
+    return type_share(scored.select(*kept))
 
 
 def collateral_alerts(recommended: DataFrame, quality_floor: float = 0.55, savings: float = 5.0) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture, KMeans
@@ -28,6 +30,16 @@ def assembler(features: list[str], output: str = "features") -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol=output, handleInvalid="skip")
 
 
+@contextmanager
+def held(df: DataFrame):
+    """Keep a training table while a fit passes over it; lost parts are computed again."""
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 def save(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
@@ -39,7 +51,8 @@ def load(path: str) -> PipelineModel:
 def fit_regression(df: DataFrame, features: list[str], label: str, rounds: int = 20, depth: int = 4, seed: int = SEED):
     """Boosted regression; rows with a missing feature or label are not used."""
     tree = GBTRegressor(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, seed=seed)
-    return Pipeline(stages=[assembler(features), tree]).fit(df.dropna(subset=[label]))
+    with held(df.dropna(subset=[label, *features]).select(label, *features)) as train:
+        return Pipeline(stages=[assembler(features), tree]).fit(train)
 
 
 def predict(model: PipelineModel, df: DataFrame, name: str, low: float | None = None, high: float | None = None) -> DataFrame:
@@ -60,7 +73,8 @@ def fit_forest(df: DataFrame, features: list[str], label: str, trees: int = 30,
     forest = RandomForestClassifier(
         featuresCol="features", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed
     )
-    return Pipeline(stages=[assembler(features), forest]).fit(balanced_weights(df.dropna(subset=[label]), label))
+    with held(balanced_weights(df.dropna(subset=[label, *features]).select(label, *features), label)) as train:
+        return Pipeline(stages=[assembler(features), forest]).fit(train)
 
 
 def class_probability(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
@@ -72,30 +86,34 @@ def calibrated_probability(
     df: DataFrame, features: list[str], label: str, key: list[str], name: str, folds: int = 3, rounds: int = 10, depth: int = 3
 ) -> DataFrame:
     """Boosted classifier per fold, calibrated on the rows left out, averaged over folds."""
-    train = df.dropna(subset=[label, *features]).withColumn("__fold", F.pmod(F.xxhash64(*key), F.lit(folds)))
+    labelled = df.dropna(subset=[label, *features]).withColumn("__fold", F.pmod(F.xxhash64(*key), F.lit(folds)))
     scored, names = df.dropna(subset=features), []
-    for k in range(folds):
-        tree = GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, seed=SEED + k)
-        model = Pipeline(stages=[assembler(features), tree]).fit(train.where(F.col("__fold") != k))
-        held = class_probability(model, train.where(F.col("__fold") == k), "raw")
-        # Calibration gathers its points: at most 10,001 weighted ones, by score to four digits.
-        points = held.groupBy(F.round("raw", 4).alias("raw")).agg(
-            F.avg(F.col(label).cast("double")).alias("share"), F.count(F.lit(1)).cast("double").alias("weight")
-        )
-        fitted = IsotonicRegression(featuresCol="raw", labelCol="share", weightCol="weight").fit(points)
-        scored = class_probability(model, scored, "raw")
-        scored = fitted.transform(scored).withColumnRenamed("prediction", f"__p{k}").drop("raw")
-        names.append(f"__p{k}")
+    with held(labelled.select(label, *features, "__fold")) as train:
+        for k in range(folds):
+            tree = GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, seed=SEED + k)
+            model = Pipeline(stages=[assembler(features), tree]).fit(train.where(F.col("__fold") != k))
+            left_out = class_probability(model, train.where(F.col("__fold") == k), "raw")
+            # Calibration gathers its points: at most 10,001 weighted ones, by score to four digits.
+            points = left_out.groupBy(F.round("raw", 4).alias("raw")).agg(
+                F.avg(F.col(label).cast("double")).alias("share"), F.count(F.lit(1)).cast("double").alias("weight")
+            )
+            fitted = IsotonicRegression(featuresCol="raw", labelCol="share", weightCol="weight").fit(points)
+            scored = class_probability(model, scored, "raw")
+            scored = fitted.transform(scored).withColumnRenamed("prediction", f"__p{k}").drop("raw")
+            names.append(f"__p{k}")
     mean = reduce(lambda a, b: a + b, [F.col(n) for n in names]) / len(names)
     return scored.withColumn(name, clip(mean, 0.0, 1.0)).drop(*names)
 
 
 def multi_horizon(df: DataFrame, features: list[str], targets: dict[int, str], least: int = 10, rounds: int = 10, depth: int = 4) -> dict:
     """One regression per horizon; horizons with too few known targets are left out."""
-    known = df.dropna(subset=features).agg(*[F.count(c).alias(str(h)) for h, c in targets.items()]).first()
-    return {
-        h: fit_regression(df, features, c, rounds, depth, seed=SEED + h) for h, c in targets.items() if known[str(h)] >= least
-    }
+    with held(df.dropna(subset=features).select(*features, *targets.values())) as train:
+        known = train.agg(*[F.count(c).alias(str(h)) for h, c in targets.items()]).first()
+        return {
+            h: fit_regression(train, features, c, rounds, depth, seed=SEED + h)
+            for h, c in targets.items()
+            if known[str(h)] >= least
+        }
 
 
 def forecast(models: dict, df: DataFrame) -> DataFrame:
@@ -112,8 +130,8 @@ def quantile_forecast(
     """Mean forecast moved by the alpha quantile of the residuals on a held-out fifth."""
     split = df.dropna(subset=features).withColumn("__held", uniform(SEED, *[F.col(k) for k in key]) < 0.2)
     model = fit_regression(split.where(~F.col("__held")), features, label, rounds, depth)
-    held = predict(model, split.where(F.col("__held") & F.col(label).isNotNull()), "__mean")
-    shift = exact_quantiles(held.withColumn("__r", F.col(label) - F.col("__mean")), "__r", {"__shift": alpha})
+    left_out = predict(model, split.where(F.col("__held") & F.col(label).isNotNull()), "__mean")
+    shift = exact_quantiles(left_out.withColumn("__r", F.col(label) - F.col("__mean")), "__r", {"__shift": alpha})
     scored = attach_one_row(predict(model, split.drop("__held"), "__mean"), shift)
     return scored.withColumn(name, clip(F.col("__mean") + F.col("__shift"), low=floor)).drop("__mean", "__shift")
 

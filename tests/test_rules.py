@@ -135,3 +135,16 @@ def test_infeasible_caps_give_zero_weights(spark):
 def test_severity_floor(spark):
     df = spark.createDataFrame([("INFO",), ("WARNING",), ("CRITICAL",), ("odd",)], "severity string")
     assert {r["severity"] for r in macro.at_least(df, "WARNING").collect()} == {"WARNING", "CRITICAL"}
+
+
+def test_quality_features_equal_the_single_scores(spark, sf):
+    from ledgerloom.sources import views
+
+    pool = views.pool(spark, sf).withColumn("haircut", F.col("haircut") * 300)
+    single = collateral.cost_of_carry(
+        collateral.type_share(collateral.liquidity_score(collateral.rating_score(collateral.duration_score(pool, "2024-07-01"))))
+    )
+    names = ["collateral_id", *[c for c in collateral.QUALITY_FEATURES if c != "eligible"], "cost_of_carry"]
+    a = single.select(*names).orderBy("collateral_id").toPandas()
+    b = collateral.build_features(pool, "2024-07-01").select(*names).orderBy("collateral_id").toPandas()
+    assert ((a - b).abs().max() < 1e-9).all()
