@@ -1,6 +1,5 @@
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.series import Series  # noqa: F401
 from ledgerloom.streaming import alerts
 
 
