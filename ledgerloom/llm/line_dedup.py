@@ -44,6 +44,7 @@ class Runs:
             .write.format("parquet")
             .bucketBy(self.buckets, "h1")
             .sortBy("h1", "h2")
+            .option("compression", "none")
             .option("path", shared_dir(self.spark, "line-run"))
             .saveAsTable(name)
         )
@@ -123,7 +124,7 @@ def dedup_lines(
     found = keyed.agg(F.percentile_approx("_id", F.array(*map(F.lit, shares)), F.lit(1000))).first()[0] if shares else []
     edges = sorted(set(found or []))
     number = sum((F.when(F.col("doc") > e, 1).otherwise(0) for e in edges), F.lit(0))
-    lines = written(lines.withColumn("batch", number), "lines")
+    lines = written(lines.withColumn("batch", number), "lines", "none")
 
     runs = Runs(spark, buckets, fanout)
     for k in range(len(edges) + 1):

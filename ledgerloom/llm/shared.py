@@ -17,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back without another look at its files."""
+def written(df: DataFrame, purpose: str, compression: str = "snappy") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back without another look at its files.
+
+    Hashes do not compress: with ``compression="none"`` their files need no codec buffers.
+    """
     path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
