@@ -179,15 +179,17 @@ def learn(
     return filters
 
 
-def identify(docs: DataFrame, filters: Filters, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """The named columns of ``docs``, all unless given, with ``lang_pred`` and ``score``; columns of these names are replaced.
+def identify(
+    docs: DataFrame, filters: Filters, text_col: str = "text", columns: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """The named columns of ``docs``, all unless given, with ``lang_pred`` and ``score`` (or other ``names``); columns of these names are replaced.
 
     ``score`` is the winner's share of all corrected hits. A null text, or one
     without a letter of any script, is ``und`` with score 0, and so is any text
     when no language is known. A text without a hit gets the first language and
     score 0; ties go to the first in order of name.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*names)
     columns = docs.columns if columns is None else columns
     languages = np.array([*filters.languages, "und"], object)
 
@@ -204,11 +206,21 @@ def identify(docs: DataFrame, filters: Filters, text_col: str = "text", columns:
                 score[some] = hits[some].max(axis=1) / total[some]
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c) for c in columns), pa.array(languages[best], pa.string()), pa.array(score)],
-                [*columns, "lang_pred", "score"],
+                [*columns, *names],
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(columns).schema)
-    return docs.mapInArrow(run, ", ".join(filter(None, [fields, "lang_pred string, score double"])))
+    return docs.mapInArrow(run, ", ".join(filter(None, [fields, f"`{names[0]}` string, `{names[1]}` double"])))
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose language is known, with all their columns.
+
+    Rejected are texts that are null or without a letter, and texts that share no
+    n-gram with any language. The filters are learned from the same rows.
+    """
+    found = identify(docs, learn(docs, id_col, text_col, lang_col), text_col, names=("_lang_pred", "_lang_score"))
+    return found.where((F.col("_lang_pred") != "und") & (F.col("_lang_score") > 0)).select(docs.columns)
 
 
 def op9_language_id(spark, sf_dir):

@@ -104,7 +104,8 @@ def dedup_lines(
     """Drop lines that a document with a smaller id holds too.
 
     Returns every row and column of ``docs`` with ``kept_text``, ``n_lines`` and
-    ``n_dropped`` in addition; columns of these names are replaced.
+    ``n_dropped`` in addition; columns of these names are replaced. Names that
+    begin with an underscore are the operator's own.
 
     A null or empty text is one empty line and stays. A key repeated in its own
     first document stays there as often as it occurs; rows that repeat an id are
@@ -157,6 +158,21 @@ def dedup_lines(
     return out
 
 
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
+    """``docs`` with the kept lines as text and their code points as ``chars_col``, if there is one.
+
+    Rows that lose lines and keep no character go; an empty text that lost nothing stays.
+    """
+    found = dedup_lines(docs, id_col, text_col, **options)
+    found = found.where((F.col("n_dropped") == 0) | (F.btrim("kept_text", F.lit(BLANKS)) != ""))
+    text = F.when(F.col("n_dropped") == 0, F.col(text_col)).otherwise(F.col("kept_text"))
+    columns = [
+        text.alias(c) if c == text_col else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == chars_col else F.col(c)
+        for c in docs.columns
+    ]
+    return found.select(*columns)
+
+
 def op1_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select(

@@ -246,6 +246,18 @@ def near_duplicates(
     )
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
+    """One row of every component, with all its columns: the one with the smallest id.
+
+    Rows are told apart by id and text; of rows that repeat both one stays. A row
+    without an id comes before all others, and texts without words are one group.
+    """
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"))
+    found = near_duplicates(docs.select(key.alias("_key"), F.col(text_col).alias("_text")), "_key", "_text", words, bits)
+    first = found.where(F.col("_key") == F.col("component_id")).select("_key")
+    return docs.withColumn("_key", key).join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+
+
 def op3_simhash_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents")).drop("root")
 
