@@ -99,13 +99,14 @@ def hashed_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
 
 
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 2
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 2,
+    names: tuple[str, str, str] = ("kept_text", "n_lines", "n_dropped"),
+) -> DataFrame:
     """Drop lines that a document with a smaller id holds too.
 
     Returns every row and column of ``docs`` with ``kept_text``, ``n_lines`` and
-    ``n_dropped`` in addition; columns of these names are replaced. Names that
-    begin with an underscore are the operator's own.
+    ``n_dropped`` (or other ``names``) in addition; columns of these names are
+    replaced. Names that begin with an underscore are the operator's own.
 
     A null or empty text is one empty line and stays. A key repeated in its own
     first document stays there as often as it occurs; rows that repeat an id are
@@ -114,8 +115,7 @@ def dedup_lines(
     ``batches``, whatever the size.
     """
     spark = docs.sparkSession
-    added = ("kept_text", "n_lines", "n_dropped")
-    docs = docs.drop(*added)
+    docs = docs.drop(*names)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     last = F.lit(2**63 - 1)
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("_id"), F.col(text_col).alias("_text"))
@@ -150,22 +150,26 @@ def dedup_lines(
     )
     out = found.withColumn("_parts", parts).select(
         *docs.columns,
-        F.when(F.col("_drops").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
-        F.size("_parts").cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drops"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("_drops").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(kept, "\n")).alias(names[0]),
+        F.size("_parts").cast("long").alias(names[1]),
+        F.coalesce(F.size("_drops"), F.lit(0)).cast("long").alias(names[2]),
     )
     runs.close()
     return out
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
+def drop_repeated_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", min_chars: int = 10, **options
+) -> DataFrame:
     """``docs`` with the kept lines as text and their code points as ``chars_col``, if there is one.
 
-    Rows that lose lines and keep no character go; an empty text that lost nothing stays.
+    Rows that lose lines and keep none whose key has ``min_chars`` code points
+    are copies and go; a text that lost nothing stays as it is.
     """
-    found = dedup_lines(docs, id_col, text_col, **options)
-    found = found.where((F.col("n_dropped") == 0) | (F.btrim("kept_text", F.lit(BLANKS)) != ""))
-    text = F.when(F.col("n_dropped") == 0, F.col(text_col)).otherwise(F.col("kept_text"))
+    found = dedup_lines(docs, id_col, text_col, min_chars, names=("_kept", "_lines", "_dropped"), **options)
+    own = F.exists(F.split("_kept", "\n", -1), lambda line: F.char_length(F.btrim(line, F.lit(BLANKS))) >= min_chars)
+    found = found.where((F.col("_dropped") == 0) | own)
+    text = F.when(F.col("_dropped") == 0, F.col(text_col)).otherwise(F.col("_kept"))
     columns = [
         text.alias(c) if c == text_col else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == chars_col else F.col(c)
         for c in docs.columns
@@ -176,7 +180,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def op1_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select(
-        "doc_id", "n_lines", F.greatest("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), F.sha2("kept_text", 256).alias("kept_sha256")
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256")
     )
 
 
