@@ -3,16 +3,22 @@
 The linear program has one equality (weights sum to 1), a cap per asset type,
 and a few pool-wide limits. For given prices on the pool-wide limits what is
 left is solved exactly by sorting: take the cheapest item of every type, fill
-types in order of cost until the weights sum to 1. Prices come from a small
-grid, evaluated together; the pool itself is reduced by one aggregation.
+types in order of cost until the weights sum to 1. Prices are refined until the
+blend of such fills is the optimum; each round is one aggregation of the pool.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from itertools import combinations
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizes import attach_one_row, broadcast_if_small
+from ..session import lineage_cut
+from .sizes import attach_one_row, broadcast_if_small, fixed_table
+
 
 def cheapest_per_type(pool: DataFrame, cost: Column, by: str = "asset_class", extra: list[str] | None = None) -> DataFrame:
     """Cheapest eligible item of each type; equal costs go to the lower id."""
@@ -53,88 +59,139 @@ def allocate(pool: DataFrame, cost: Column, cap: float = 0.30) -> DataFrame:
 
 
 def allocate_within_limits(
-    pool: DataFrame,
-    cost: Column,
-    cap: float,
-    limits: dict[str, tuple[str, float]],
-    prices: list[float],
+    pool: DataFrame, cost: Column, cap: float, limits: dict[str, tuple[str, float]], tolerance: float = 1e-9, most_rounds: int = 200
 ) -> DataFrame:
-    """Allocation under pool-wide limits, by pricing them.
+    """The cheapest allocation under caps and pool-wide limits, for the whole pool.
+
+    ``limits`` maps a column to ('max' or 'min', bound) on its weighted mean. Adds
+    allocation_weight, recommended, status and gap (the distance to the dual
+    bound). Where no weights keep the limits all of them are zero and the status
+    is ``infeasible``.
 
-    ``limits`` maps a column to ('max' or 'min', bound) on its weighted mean.
-    Every combination of prices is one run. The result is the cheapest blend of
-    two runs that keeps the limits; the best dual value of any run bounds how
-    far it can be from the optimum (``gap``). Without a feasible run it is empty.
+    Column generation: prices on the limits give the cheapest fill by one
+    aggregation of the pool, a blend of the fills so far gives new prices, and
+    both end when no fill is cheaper at its own prices. Blends are of at most one
+    fill more than there are limits.
     """
     names = list(limits)
-    grid = _price_grid(pool, names, prices)
     sign = {c: 1.0 if kind == "max" else -1.0 for c, (kind, _) in limits.items()}
-    penalty = sum((F.col(f"price_{c}") * F.col(c) * sign[c] for c in names), F.lit(0.0))
-    offset = sum((F.col(f"price_{c}") * limits[c][1] * sign[c] for c in names), F.lit(0.0))
-
-    priced = pool.where("eligible").withColumn("__cost", cost).crossJoin(F.broadcast(grid))
-    run_keys = ["run", *[f"price_{c}" for c in names]]
-    best = (
-        priced.withColumn("unit_cost", F.col("__cost") + penalty)
-        .groupBy(*run_keys, "asset_class")
-        .agg(
-            F.min_by(
-                F.struct("collateral_id", "unit_cost", "__cost", *names), F.struct("unit_cost", "collateral_id")
-            ).alias("r")
-        )
-        .select(*run_keys, "asset_class", "r.*")
-    )
-    filled = fill_in_order(best, cap, ["run"])
-    x = F.col("allocation_weight")
-    runs = filled.groupBy(*run_keys).agg(
-        F.sum(x).alias("invested"),
-        F.sum(x * F.col("__cost")).alias("cost"),
-        F.sum(x * F.col("unit_cost")).alias("priced_cost"),
-        *[F.sum(x * F.col(c)).alias(f"at_{c}") for c in names],
+    bounds = np.array([sign[c] * limits[c][1] for c in names])
+    # Every round reads these columns again.
+    priced = lineage_cut(
+        pool.where("eligible").select(
+            "collateral_id", "asset_class", cost.alias("__cost"), *(F.col(c) * F.lit(sign[c]) for c in names)
+        ).toDF("collateral_id", "asset_class", "__cost", *[f"__a{j}" for j in range(len(names))]),
+        "priced",
     )
-    runs = runs.where(F.col("invested") > 1 - 1e-9)
-    bound = runs.agg(F.max(F.col("priced_cost") - offset).alias("bound"))
-    mix = _best_mix(runs, limits).crossJoin(F.broadcast(bound))
-    # One row: the two runs mixed, the share of the second and the gap.
-    chosen = filled.crossJoin(F.broadcast(mix.select("kept", "added", "share", (F.col("cost") - F.col("bound")).alias("gap"))))
-    part = F.when(F.col("run") == F.col("kept"), 1 - F.col("share")).otherwise(0.0) + F.when(
-        F.col("run") == F.col("added"), F.col("share")
-    ).otherwise(0.0)
+    status, mix, gap = _generate(priced, cap, bounds, tolerance, most_rounds)
+    weights: dict = {}
+    for share, fill in mix:
+        for item, weight in fill.items.items():
+            weights[item] = weights.get(item, 0.0) + share * weight
+    # At most one item of each type for each fill of the blend.
+    rows = [(i, w) for i, w in sorted(weights.items()) if w > 0] or [(None, 0.0)]
+    kind = pool.schema["collateral_id"].dataType
+    chosen = fixed_table(pool.sparkSession, rows, ["collateral_id", "allocation_weight"])
+    chosen = chosen.withColumn("collateral_id", F.col("collateral_id").cast(kind))
+    weight = F.coalesce("allocation_weight", F.lit(0.0))
     return (
-        chosen.groupBy("collateral_id", "asset_class", F.col("__cost").alias("unit_cost"), *names, "gap")
-        .agg(F.sum(x * part).alias("allocation_weight"))
-        .where(F.col("allocation_weight") > 0)
+        pool.join(F.broadcast(chosen), "collateral_id", "left")
+        .withColumn("allocation_weight", weight)
+        .withColumn("recommended", F.col("allocation_weight") > 1e-4)
+        .withColumn("status", F.lit(status))
+        .withColumn("gap", F.lit(gap).cast("double"))
     )
 
 
-def _best_mix(runs: DataFrame, limits: dict[str, tuple[str, float]]) -> DataFrame:
-    """Cheapest blend of a run inside the limits with any other run.
+@dataclass
+class Fill:
+    """One way to fill the types: item weights, its cost and its means of the limited columns."""
+
+    items: dict
+    cost: float
+    means: np.ndarray
 
-    The blend goes as far towards the second run as the limits allow. Runs are
-    as many as the price grid has points, so pairing them is a fixed cost.
+
+def _fills(priced: DataFrame, cap: float, prices: list[tuple[float, np.ndarray]]) -> list[Fill]:
+    """The cheapest fill for each (weight of the cost, prices of the limits), in one aggregation.
+
+    What comes back is one item for each type and price; types are a short list.
+    """
+    limited = [c for c in priced.columns if c.startswith("__a")]
+    item = F.struct("collateral_id", "__cost", *limited)
+    best = []
+    for n, (weight, price) in enumerate(prices):
+        reduced = sum((F.col(c) * float(v) for c, v in zip(limited, price)), F.col("__cost") * float(weight))
+        best.append(F.min_by(F.struct(reduced.alias("r"), item.alias("i")), F.struct(reduced, F.col("collateral_id"))).alias(f"p{n}"))
+    rows = priced.groupBy("asset_class").agg(*best).collect()
+    out = []
+    for n in range(len(prices)):
+        left, items, cost, means = 1.0, {}, 0.0, np.zeros(len(limited))
+        for row in sorted(rows, key=lambda r: (r[f"p{n}"]["r"], r["asset_class"])):
+            weight = min(cap, left)
+            left -= weight
+            if weight > 0:
+                found = row[f"p{n}"]["i"]
+                items[found["collateral_id"]] = weight
+                cost += weight * found["__cost"]
+                means += weight * np.array([found[c] for c in limited])
+        if left <= 1e-9:
+            out.append(Fill(items, cost, means))
+    return out
+
+
+def _blend(fills: list[Fill], bounds: np.ndarray, feasible: bool):
+    """The best blend of fills: (value, shares, price of one unit of weight, prices of the limits).
+
+    With ``feasible`` the value is the cost of a blend inside the limits, else how
+    far a blend is outside of them. A corner of the few-column program is found by
+    looking at all of them: inside the limits, and no column is better at its prices.
     """
-    inside = F.lit(True)
-    share = F.lit(1.0)
-    for c, (kind, limit) in limits.items():
-        sign = 1.0 if kind == "max" else -1.0
-        inside = inside & (sign * (F.col(f"at_{c}") - limit) <= 1e-12)
-        own, other = F.col(f"f.at_{c}"), F.col(f"g.at_{c}")
-        over = sign * (other - limit) > 1e-12
-        share = F.when(over, F.least(share, (limit - own) / (other - own))).otherwise(share)
-    pairs = runs.where(inside).alias("f").crossJoin(F.broadcast(runs.alias("g"))).withColumn("share", share)
-    cost = (1 - F.col("share")) * F.col("f.cost") + F.col("share") * F.col("g.cost")
-    found = pairs.select(F.col("f.run").alias("kept"), F.col("g.run").alias("added"), "share", cost.alias("cost"))
-    best = found.agg(F.min_by(F.struct(*found.columns), F.struct("cost", "kept", "added")).alias("m"))
-    return best.select("m.*")
-
-
-def _price_grid(pool: DataFrame, names: list[str], prices: list[float]) -> DataFrame:
-    """All price combinations: len(prices) ** len(names) rows, fixed by the caller."""
-    grid = pool.sparkSession.range(1).select()
-    for c in names:
-        grid = grid.select("*", F.explode(F.array(*[F.lit(float(p)) for p in prices])).alias(f"price_{c}"))
-    order = F.concat_ws("|", *[f"price_{c}" for c in names])
-    return grid.withColumn("run", order)
+    k = len(bounds)
+    runs = np.array([[1.0, *f.means] for f in fills]).T
+    slack = np.vstack([np.zeros(k), np.eye(k)])
+    columns = np.hstack([runs, slack] if feasible else [runs, slack, -slack])
+    values = np.concatenate([[f.cost if feasible else 0.0 for f in fills], np.zeros(k), [] if feasible else np.ones(k)])
+    right = np.concatenate([[1.0], bounds])
+    corners = np.array(list(combinations(range(columns.shape[1]), k + 1)))
+    matrices = columns[:, corners].transpose(1, 0, 2)
+    sound = np.abs(np.linalg.det(matrices)) > 1e-13
+    corners, matrices = corners[sound], matrices[sound]
+    shares = np.linalg.solve(matrices, np.broadcast_to(right[:, None], (len(corners), k + 1, 1)))[..., 0]
+    prices = np.linalg.solve(matrices.transpose(0, 2, 1), values[corners][..., None])[..., 0]
+    kept = (shares >= -1e-9).all(axis=1)
+    worst = (values - prices @ columns).min(axis=1)
+    order = np.where(kept, np.maximum(-worst, 0), np.inf)
+    at = int(order.argmin())
+    share = np.zeros(columns.shape[1])
+    share[corners[at]] = np.maximum(shares[at], 0)
+    return float(share @ values), share[: len(fills)], prices[at, 0], np.maximum(-prices[at, 1:], 0), share[len(fills) :]
+
+
+def _generate(priced: DataFrame, cap: float, bounds: np.ndarray, tolerance: float, most_rounds: int):
+    """(status, [(share, fill)], gap) by column generation: first towards the limits, then towards the least cost."""
+    k = len(bounds)
+    fills = _fills(priced, cap, [(1.0, np.zeros(k)), *((0.0, unit) for unit in np.eye(k))])
+    if not fills:
+        return "infeasible", [], None
+    feasible = False
+    for _ in range(most_rounds):
+        value, shares, unit, prices, rest = _blend(fills, bounds, feasible)
+        if not feasible and value <= tolerance:
+            feasible = True
+            continue
+        new = _fills(priced, cap, [(1.0 if feasible else 0.0, prices)])[0]
+        reached = (new.cost if feasible else 0.0) + float(prices @ new.means)
+        if reached >= unit - tolerance:
+            if not feasible:
+                return "infeasible", [], None
+            gap = value - (reached - float(prices @ bounds))
+            return "optimal", [(s, f) for s, f in zip(shares, fills) if s > 0], max(gap, 0.0)
+        # Corners are few when the table is: fills of no share go before a new one comes.
+        if len(fills) > 2 * k + 6:
+            fills = [f for f, s in zip(fills, shares) if s > 0]
+        fills.append(new)
+    raise ArithmeticError(f"no optimum after {most_rounds} rounds")
 
 
 def recommendations(allocated: DataFrame, cost: str = "cost_of_carry") -> DataFrame:
@@ -183,12 +240,12 @@ def allocation_alerts(runs: DataFrame, limit: float = 0.15) -> DataFrame:
     failed = F.when(
         F.col("status") != "optimal",
         F.struct(F.lit("OPTIMIZATION_FAILURE").alias("alert_type"), F.lit("CRITICAL").alias("severity"),
-                 F.format_string("Solver status: %s", F.col("status")).alias("message")),
+                 F.format_string("No allocation was found: %s", F.col("status")).alias("message")),
     )
     risky = F.when(
         F.col("recall_risk_weighted") > limit,
         F.struct(F.lit("HIGH_RECALL_RISK").alias("alert_type"), F.lit("WARNING").alias("severity"),
-                 F.format_string("Weighted recall risk=%.3f", F.col("recall_risk_weighted")).alias("message")),
+                 F.format_string("The allocation recalls %.3f of its weight", F.col("recall_risk_weighted")).alias("message")),
     )
     return runs.select("*", F.explode(F.array_compact(F.array(failed, risky))).alias("a")).select(
         *runs.columns, "a.*"

@@ -267,20 +267,80 @@ def allocation_totals(spark, sf):
     return allocation.totals(allocation.allocate(_scored(spark, sf), _objective(), cap=0.30))
 
 
-_PRICES = [0.0, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0]
+def _allocated(out, *columns):
+    return out.select("collateral_id", "asset_class", *columns, "allocation_weight", "recommended", "status", "gap")
 
 
 @query("allocation_dual")
 def allocation_dual(spark, sf):
     limits = {"haircut": ("max", 0.10), "quality_score": ("min", 0.55)}
-    return allocation.allocate_within_limits(_scored(spark, sf), 0.6 * F.col("cost_of_carry") - 0.05 * F.col("quality_score"), 0.30, limits, _PRICES)
+    cost = 0.6 * F.col("cost_of_carry") - 0.05 * F.col("quality_score")
+    return _allocated(allocation.allocate_within_limits(_scored(spark, sf), cost, 0.30, limits), "haircut", "quality_score")
+
+
+def _multi(spark, sf):
+    cost = allocation.blended_cost((0.8, 0.2, 0.6, 0.5))
+    pool = _scored(spark, sf).withColumn("coverage", 1 - F.col("haircut"))
+    # Quality floor, coverage less one, capital budget and recall limit.
+    limits = {"quality_score": ("min", 0.55), "coverage": ("min", 0.05), "capital_charge_est": ("max", 0.04), "recall_prob": ("max", 0.15)}
+    return allocation.allocate_within_limits(pool, cost, 0.35, limits)
 
 
 @query("allocation_multi")
 def allocation_multi(spark, sf):
-    cost = allocation.blended_cost((0.8, 0.2, 0.6, 0.5))
-    limits = {"quality_score": ("min", 0.55), "haircut": ("max", 0.95), "recall_prob": ("max", 0.15)}
-    return allocation.allocate_within_limits(_scored(spark, sf), cost, 0.35, limits, [0.0, 0.02, 0.1, 0.5, 2.0])
+    return _allocated(_multi(spark, sf), "quality_score", "coverage", "capital_charge_est", "recall_prob")
+
+
+@query(
+    "allocation_status",
+    "SELECT 'optimal' AS status, 1.0 AS invested, true AS inside, true AS capped, true AS exact, count(*) AS items FROM v_pool",
+    "v_pool",
+    "invested:9",
+)
+def allocation_status(spark, sf):
+    """What an optimum has to show: limits and caps kept, and no distance to its dual bound."""
+    x = F.col("allocation_weight")
+    types = _multi(spark, sf).groupBy("asset_class").agg(
+        F.sum(x).alias("w"), F.count(F.lit(1)).alias("n"), F.first("status").alias("status"), F.max("gap").alias("gap"),
+        *[F.sum(x * F.col(c)).alias(c) for c in ("quality_score", "coverage", "capital_charge_est", "recall_prob")],
+    )
+    inside = F.expr(
+        "sum(quality_score) >= 0.55 - 1e-7 AND sum(coverage) >= 0.05 - 1e-7 AND sum(capital_charge_est) <= 0.04 + 1e-7 AND sum(recall_prob) <= 0.15 + 1e-7"
+    )
+    return types.agg(
+        F.first("status").alias("status"), F.sum("w").alias("invested"), inside.alias("inside"), (F.max("w") <= 0.35 + 1e-9).alias("capped"),
+        (F.max("gap") <= 1e-6).alias("exact"), F.sum("n").alias("items"),
+    )
+
+
+# The optimum under one limit is the largest dual value, and that lies at zero or where two items change places.
+_FLOOR = f"""WITH scored AS (SELECT asset_class, 0.6 * haircut * financing_rate_bps / 10000 AS c, rating_score AS q FROM ({_RATED}) WHERE eligible),
+  undominated AS (SELECT DISTINCT asset_class, c, q FROM scored s WHERE NOT EXISTS (SELECT 1 FROM scored o WHERE o.asset_class = s.asset_class
+    AND o.c <= s.c AND o.q >= s.q AND (o.c < s.c OR o.q > s.q))),
+  prices AS (SELECT 0.0 AS l UNION SELECT (a.c - b.c) / (a.q - b.q) FROM undominated a JOIN undominated b ON a.q > b.q AND a.c > b.c),
+  best AS (SELECT l, asset_class, min(c - l * q) AS r FROM prices, undominated GROUP BY 1, 2),
+  filled AS (SELECT l, r, least(0.3, greatest(0, 1 - 0.3 * (row_number() OVER (PARTITION BY l ORDER BY r, asset_class) - 1))) AS w FROM best)
+  SELECT 'optimal' AS status, max(d) AS cost FROM (SELECT l, sum(w * r) + l * 0.9 AS d FROM filled GROUP BY 1)"""
+
+
+@query("allocation_quality_floor", _FLOOR, "v_pool", "cost:8")
+def allocation_quality_floor(spark, sf):
+    pool = collateral.cost_of_carry(collateral.rating_score(views.pool(spark, sf)))
+    out = allocation.allocate_within_limits(pool, 0.6 * F.col("cost_of_carry"), 0.30, {"rating_score": ("min", 0.9)})
+    return out.groupBy("status").agg(F.sum(0.6 * F.col("cost_of_carry") * F.col("allocation_weight")).alias("cost"))
+
+
+@query(
+    "allocation_no_feasible",
+    "SELECT collateral_id, 0.0 AS allocation_weight, false AS recommended, 'infeasible' AS status FROM v_pool",
+    "v_pool",
+    "allocation_weight",
+)
+def allocation_no_feasible(spark, sf):
+    """No item reaches the floor, so no weights can."""
+    pool = collateral.cost_of_carry(collateral.rating_score(views.pool(spark, sf)))
+    out = allocation.allocate_within_limits(pool, F.col("cost_of_carry"), 0.30, {"rating_score": ("min", 1.5)})
+    return out.select("collateral_id", "allocation_weight", "recommended", "status")
 
 
 @query(

@@ -107,11 +107,11 @@ def test_allocation_within_limits_is_near_the_optimum(spark):
     ]
     pool = spark.createDataFrame([(*i, True) for i in items], "collateral_id int, asset_class string, cost double, quality_score double, eligible boolean")
     out = allocation.allocate_within_limits(
-        pool, F.col("cost"), 0.5, {"quality_score": ("min", 0.6)}, [0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 2.857142857142857, 3.0, 4.0]
+        pool, F.col("cost"), 0.5, {"quality_score": ("min", 0.6)}
     ).collect()
     assert sum(r["allocation_weight"] for r in out) == pytest.approx(1.0)
     assert sum(r["allocation_weight"] * r["quality_score"] for r in out) >= 0.6 - 1e-9
-    cost = sum(r["allocation_weight"] * r["unit_cost"] for r in out)
+    cost = sum(r["allocation_weight"] * r["cost"] for r in out)
     best = min(
         c for w in itertools.product(range(0, 11), repeat=5)
         if sum(w) <= 20
@@ -122,7 +122,38 @@ def test_allocation_within_limits_is_near_the_optimum(spark):
         for c in [sum(v * i[2] for v, i in zip(ws, items))]
     )
     assert cost <= best + 1e-9
-    assert out[0]["gap"] == pytest.approx(0.0, abs=0.05)
+    assert out[0]["gap"] == pytest.approx(0.0, abs=1e-6) and out[0]["status"] == "optimal"
+
+
+def test_limits_that_no_single_item_keeps(spark):
+    pool = spark.createDataFrame([(1, "a", True, 0.3, 0.9, 1.0), (2, "b", True, 0.0, 0.2, 2.0)], "collateral_id int, asset_class string, eligible boolean, haircut double, quality_score double, cost double")
+    limits = {"haircut": ("max", 0.16), "quality_score": ("min", 0.55)}
+    first = next(r for r in allocation.allocate_within_limits(pool, F.col("cost"), 1.0, limits).collect() if r["collateral_id"] == 1)
+    # The cheaper item goes as far as its haircut allows.
+    assert first["allocation_weight"] == pytest.approx(0.16 / 0.3) and first["gap"] < 1e-6
+    none = allocation.allocate_within_limits(pool, F.col("cost"), 1.0, {**limits, "haircut": ("max", 0.1)}).collect()
+    assert [(r["allocation_weight"], r["recommended"], r["status"]) for r in none] == [(0.0, False, "infeasible")] * 2
+
+
+def test_limited_allocation_beats_random_blends(spark):
+    """No random feasible weights of a random pool cost less, and small changes of the optimum do not either."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    n = 24
+    a, q, c = rng.uniform(0, 1, n), rng.uniform(0, 1, n), rng.uniform(1, 3, n)
+    kinds = ["abcd"[i % 4] for i in range(n)]
+    pool = spark.createDataFrame(
+        [(i, kinds[i], True, float(a[i]), float(q[i]), float(c[i])) for i in range(n)],
+        "collateral_id int, asset_class string, eligible boolean, haircut double, quality_score double, cost double",
+    )
+    out = allocation.allocate_within_limits(pool, F.col("cost"), 0.4, {"haircut": ("max", 0.3), "quality_score": ("min", 0.7)}).orderBy("collateral_id").collect()
+    x = np.array([r["allocation_weight"] for r in out])
+    share = np.array([[k == t for k in kinds] for t in "abcd"], float)
+    assert x.sum() == pytest.approx(1) and (share @ x <= 0.4 + 1e-9).all() and a @ x <= 0.3 + 1e-7 and q @ x >= 0.7 - 1e-7
+    tries = np.vstack([rng.dirichlet(np.full(n, 0.1), 200_000), 0.9 * x + 0.1 * rng.dirichlet(np.full(n, 0.1), 200_000)])
+    good = (tries @ share.T <= 0.4).all(axis=1) & (tries @ a <= 0.3) & (tries @ q >= 0.7)
+    assert good.any() and (tries[good] @ c).min() >= c @ x - 1e-6
 
 
 def test_infeasible_caps_give_zero_weights(spark):
