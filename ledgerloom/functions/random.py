@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def uniform(seed: int, *parts: Column) -> Column:
-    """A number in (0, 1)."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(2**31 - 2)) + 1) / F.lit(float(2**31))
+    """A number in (0, 1), one of 2^52."""
+    return (F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(2**52 - 2)) + 1) / F.lit(float(2**52))
 
 
 def normal(seed: int, *parts: Column) -> Column:

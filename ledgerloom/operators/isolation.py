@@ -7,6 +7,7 @@ parameters.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,20 +49,32 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
     return nodes
 
 
+def _drawn(data: DataFrame, key: str, trees: int, rate: float, seed: int) -> DataFrame:
+    """Rows with the trees they are drawn for, each tree independently with chance ``rate``.
+
+    The trees between two draws of a row follow a geometric distribution, so a
+    row that is never drawn, as most of a large table, costs one hash.
+    """
+
+    def passed_over(step):
+        return F.floor(F.log(uniform(seed, F.col(key), step)) / F.lit(math.log1p(-rate))) if rate < 1 else F.lit(0).cast("bigint")
+
+    first = data.withColumn("__first", passed_over(F.lit(0).cast("bigint"))).where(F.col("__first") < trees)
+    start = F.struct(F.array("__first").alias("drawn"), F.col("__first").alias("last"))
+
+    def draw(state, step):
+        after = state["last"] + 1 + passed_over(step)
+        more = F.struct(F.array_append(state["drawn"], after).alias("drawn"), after.alias("last"))
+        return F.when(state["last"] < trees, F.when(after < trees, more).otherwise(F.struct(state["drawn"].alias("drawn"), after.alias("last")))).otherwise(state)
+
+    picks = F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.lit(trees).cast("bigint")), start, draw)["drawn"]
+    return first.select(*data.columns, F.explode(picks).alias("tree"))
+
+
 def fit(df: DataFrame, key: str, features: list[str], trees: int = 200, sample: int = 256, seed: int = 42) -> pd.DataFrame:
     """Grow the forest; returns its nodes, at most trees * 2 * sample rows."""
     data = df.select(key, *features).dropna(subset=features)
-    n = data.count()
-    if n >= trees * sample:
-        # Disjoint samples: one hash spreads the rows over buckets of about ``sample``.
-        bucket = F.floor(uniform(seed, F.col(key)) * (n / sample)).cast("int")
-        drawn = data.withColumn("tree", bucket).where(F.col("tree") < trees)
-    else:
-        rate = min(1.0, sample / max(n, 1))
-        ids = F.filter(
-            F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: uniform(seed, F.col(key), t) < F.lit(rate)
-        )
-        drawn = data.select("*", F.explode(ids).alias("tree"))
+    drawn = _drawn(data, key, trees, min(1.0, sample / max(data.count(), 1)), seed)
     limit = int(np.ceil(np.log2(max(sample, 2))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

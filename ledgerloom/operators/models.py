@@ -68,7 +68,7 @@ def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFra
     return attach_one_row(df, one).withColumn(name, F.col("__n") / (2 * own)).drop("__n", "__pos")
 
 
-def fit_forest(df: DataFrame, features: list[str], label: str, trees: int = 30, depth: int = 6, seed: int = SEED):
+def fit_forest(df: DataFrame, features: list[str], label: str, trees: int = 200, depth: int = 8, seed: int = SEED):
     """Class-balanced random forest."""
     forest = RandomForestClassifier(
         featuresCol="features", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed
@@ -83,9 +83,12 @@ def class_probability(model: PipelineModel, df: DataFrame, name: str) -> DataFra
 
 
 def calibrated_probability(
-    df: DataFrame, features: list[str], label: str, key: list[str], name: str, folds: int = 3, rounds: int = 10, depth: int = 3
+    df: DataFrame, features: list[str], label: str, key: list[str], name: str, folds: int = 3, rounds: int = 10, depth: int = 3, digits: int = 4
 ) -> DataFrame:
-    """Boosted classifier per fold, calibrated on the rows left out, averaged over folds."""
+    """Boosted classifier per fold, calibrated on the rows left out, averaged over folds.
+
+    Calibration sees scores rounded to ``digits``, at most 10^digits + 1 weighted points.
+    """
     labelled = df.dropna(subset=[label, *features]).withColumn("__fold", F.pmod(F.xxhash64(*key), F.lit(folds)))
     scored, names = df.dropna(subset=features), []
     with held(labelled.select(label, *features, "__fold")) as train:
@@ -93,8 +96,7 @@ def calibrated_probability(
             tree = GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, seed=SEED + k)
             model = Pipeline(stages=[assembler(features), tree]).fit(train.where(F.col("__fold") != k))
             left_out = class_probability(model, train.where(F.col("__fold") == k), "raw")
-            # Calibration gathers its points: at most 10,001 weighted ones, by score to four digits.
-            points = left_out.groupBy(F.round("raw", 4).alias("raw")).agg(
+            points = left_out.groupBy(F.round("raw", digits).alias("raw")).agg(
                 F.avg(F.col(label).cast("double")).alias("share"), F.count(F.lit(1)).cast("double").alias("weight")
             )
             fitted = IsotonicRegression(featuresCol="raw", labelCol="share", weightCol="weight").fit(points)

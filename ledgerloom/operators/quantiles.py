@@ -73,7 +73,11 @@ def _pick(values: DataFrame, box: tuple[float, float], place: float) -> float:
     lo, hi = box
     if lo == hi:
         return lo
-    skipped = values.where(F.col("v") < lo).count()
+    skipped, inside = values.agg(
+        F.count(F.when(F.col("v") < lo, 1)), F.count(F.when(F.col("v").between(lo, hi), 1))
+    ).first()
+    if not skipped <= math.floor(place) <= math.ceil(place) < skipped + inside:
+        raise ArithmeticError(f"place {place} is outside of its bracket")
     runs = values.where(F.col("v").between(lo, hi)).groupBy("v").agg(F.count(F.lit(1)).alias("k"))
     upto = F.sum("k").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
     low, high = math.floor(place) - skipped, math.ceil(place) - skipped

@@ -237,14 +237,17 @@ def first_row(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(best).select(*keys, "__row.*")
 
 
-def numbered(df: DataFrame, order_id: str, name: str, slice_ids: int = 1_000_000) -> DataFrame:
-    """Number rows 1..n in the order of a unique whole-number id.
+def numbered(df: DataFrame, order_id: str, name: str, slices: int | None = None) -> DataFrame:
+    """Number rows 1..n in the order of a unique id.
 
-    Counts per id range give each range its offset, so numbering runs in
-    parallel; a range holds at most ``slice_ids`` rows because ids are unique.
+    Rows are dealt by ranges of the id with about as many rows each, however the
+    ids lie, and written with their range; counts give each range its offset, so
+    numbering runs in parallel. There are as many ranges as shuffle partitions
+    unless ``slices`` says otherwise.
     """
-    part = F.floor(F.col(order_id) / F.lit(slice_ids)).alias("__slice")
-    sliced = df.withColumn("__slice", part)
+    ranged = df.repartitionByRange(slices, order_id) if slices else df.repartitionByRange(order_id)
+    # Range bounds are sampled, so the deal is written rather than done again.
+    sliced = lineage_cut(ranged.withColumn("__slice", F.spark_partition_id()), "numbered")
     counts = sliced.groupBy("__slice").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))

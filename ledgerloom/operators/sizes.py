@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +20,28 @@ def int_conf(df: DataFrame, key: str, default: int) -> int:
 
 
 def planned_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate; joins and unknown sources are overestimated."""
+    """The optimizer's size estimate, or None where it may be too small.
+
+    Joins and unknown sources are overestimated; the rows that a generator or
+    a Python function makes of one are not known at all. Literal tables are
+    folded to local rows before the estimate.
+    """
     plan = getattr(df, "_jdf", None)
     if plan is None:
         return None
-    return int(plan.queryExecution().optimizedPlan().stats().sizeInBytes())
+    plan = plan.queryExecution().optimizedPlan()
+    text = plan.toString()
+    if "Generate " in text and not _literal_rows(text):
+        return None
+    if re.search(r"MapIn(Pandas|Arrow)|FlatMapGroups|FlatMapCoGroups", text):
+        return None
+    return int(plan.stats().sizeInBytes())
+
+
+def _literal_rows(plan: str) -> bool:
+    """Whether a plan reads nothing but a range of one row, and generates from constants."""
+    leaves = re.findall(r"(?:Relation|InMemoryRelation|LogicalRDD|LocalRelation|OneRowRelation|Range) ?\(?[^\n]*", plan)
+    return bool(leaves) and all(re.match(r"Range \(0, 1, ", leaf) for leaf in leaves)
 
 
 def is_small_input(df: DataFrame) -> bool:
@@ -31,17 +50,15 @@ def is_small_input(df: DataFrame) -> bool:
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Hint a broadcast only for a side whose size has been checked.
+    """Hint a broadcast only for a side whose estimate is small and can be trusted.
 
-    A small estimate is taken as it is; otherwise the rows are counted. A side
-    over the limit is returned without a hint and joins by shuffle, where
-    adaptive execution splits skewed partitions.
+    Nothing is run for it. Any other side is returned without a hint: adaptive
+    execution broadcasts it when its shuffled size turns out small, and splits
+    skewed partitions when it does not.
     """
     limit = int_conf(df, BROADCAST_ROWS_CONF, BROADCAST_ROWS)
     size = planned_bytes(df)
-    if size is not None and size <= 16 * limit:
-        return F.broadcast(df)
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if size is not None and size <= 16 * limit else df
 
 
 def fixed_table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:

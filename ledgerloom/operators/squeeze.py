@@ -158,8 +158,8 @@ def squeeze_alerts(scored: DataFrame, probability: str = "squeeze_probability")
     return tiered.where(F.col("risk_tier").isin("HIGH", "CRITICAL")).withColumn(
         "message",
         F.format_string(
-            "[%s] %s | Squeeze Prob: %.2f%% | SI Ratio: %.2f%% | Days-to-Cover: %.1f | Utilization: %.2f%%",
-            "risk_tier", F.col("ticker").cast("string"), F.col(probability) * 100,
+            "%s may be squeezed (%s, chance %.1f%%): %.1f%% of the float is short, %.1f days cover it, %.1f%% of supply is lent",
+            F.col("ticker").cast("string"), "risk_tier", F.col(probability) * 100,
             F.col("short_interest_ratio") * 100, "days_to_cover", F.col("utilization_rate") * 100,
         ),
     )

@@ -8,7 +8,7 @@ from ..operators.quantiles import exact_quantiles
 from ..operators.sequences import pad_first_score, sliding_sequences
 from ..operators.series import chained, latest_row, over_history
 from ..operators.sizes import attach_one_row
-from ..session import shared_dir
+from ..session import lineage_cut, shared_dir
 from ..sources import views
 from ..sources.views import MACRO_DAYS, PANEL_SERIES, RATE_SERIES, REPO_SERIES, Series
 from . import portfolio
@@ -21,7 +21,7 @@ IF_FEATURES = ["rate", "rate_zscore_5", "rate_zscore_10", "rate_zscore_20", "rat
 def isolation_score(spark, sf):
     steps = chained(anomaly.rolling_zscore_step(), anomaly.rate_momentum_step())
     rows = over_history(views.rates(spark, sf), RATE_SERIES, *steps).select("event_id", "ticker", *IF_FEATURES)
-    forest = isolation.fit(rows, "event_id", IF_FEATURES, trees=100)
+    forest = isolation.fit(rows, "event_id", IF_FEATURES)
     scored = isolation.score(rows, forest, IF_FEATURES)
     raw = scored.withColumn("raw", -F.col("anomaly_raw"))
     out = anomaly.normalise_score(raw, anomaly.training_range(raw, "raw"), "raw", "if_score")
@@ -62,22 +62,21 @@ RISK_INPUTS = [c for c in exposure.RISK_FEATURES if c != "top5_exposure_pct"]
 def _risk_table(spark, sf):
     table = portfolio.rollup(spark, sf).withColumn("label", (F.col("top5_exposure_pct") > 45).cast("int"))
     # One row per portfolio and month; fitting passes over it many times.
-    return table.select("portfolio_id", "date", *exposure.RISK_FEATURES, "label").persist()
+    return lineage_cut(table.select("portfolio_id", "date", *exposure.RISK_FEATURES, "label"), "risk")
 
 
 @query("risk_probability")
 def risk_probability(spark, sf):
     table = _risk_table(spark, sf)
-    scored = models.class_probability(models.fit_forest(table, RISK_INPUTS, "label", trees=20), table, "risk_score")
+    scored = models.class_probability(models.fit_forest(table, RISK_INPUTS, "label"), table, "risk_score")
     return exposure.risk_alerts(scored, "risk_score").select("portfolio_id", "date", "risk_score", "risk_level", "alert_flag")
 
 
 @query("row_attribution")
 def row_attribution(spark, sf):
     table = _risk_table(spark, sf)
-    inputs = ["hhi_portfolio", "hhi_sector", "max_sector_weight", "portfolio_var_proxy"]
-    model = models.fit_forest(table, inputs, "label", trees=10, depth=4)
-    return models.row_attribution(model, table, inputs, vector_to_array("probability")[1], ["portfolio_id", "date"])
+    model = models.fit_forest(table, RISK_INPUTS, "label")
+    return models.row_attribution(model, table, RISK_INPUTS, vector_to_array("probability")[1], ["portfolio_id", "date"])
 
 
 PANEL_KEY = ["ticker", "order_id", "line_no", "counterparty_id"]

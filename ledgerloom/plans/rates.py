@@ -129,8 +129,8 @@ def anomaly_alerts(spark, sf):
 
 @query(
     "alert_messages",
-    f"""SELECT event_id, printf('Anomalous borrow rate detected for %d: rate=%.4f, combined_score=%.4f, level=%s',
-        ticker, rate, combined_score, alert_level) AS message FROM ({_ALERTS})""",
+    f"""SELECT event_id, printf('%s: the borrow rate of %d stands out at %.4f (score %.4f)',
+        alert_level, ticker, rate, combined_score) AS message FROM ({_ALERTS})""",
     "v_rate",
 )
 def alert_messages(spark, sf):

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import logging
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.sizes import attach_one_row
+_log = logging.getLogger(__name__)
 
 
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -59,9 +63,10 @@ def load(spark: SparkSession, source: dict) -> DataFrame:
 
 def lookback_from_latest(df: DataFrame, date: str, days: int) -> DataFrame:
     """Rows no older than ``days`` before the latest date."""
-    latest = df.agg(F.max(date).alias("__latest"))
-    recent = F.col(date) >= F.col("__latest") - F.expr(f"INTERVAL {int(days)} DAYS")
-    return attach_one_row(df, latest).where(recent).drop("__latest")
+    # Fetched first, so that the scan gets a literal bound.
+    latest = df.agg(F.max(date)).first()[0]
+    bound = F.lit(latest).cast(df.schema[date].dataType) - F.expr(f"INTERVAL {int(days)} DAYS")
+    return df.where(F.col(date) >= bound.cast(df.schema[date].dataType))
 
 
 def lookback_as_of(df: DataFrame, date: str, days: int, as_of: str) -> DataFrame:
@@ -82,23 +87,41 @@ def freshness(df: DataFrame, series: str, date: str, as_of: str, max_age_days: i
 
 
 def cached_series(spark: SparkSession, path: str, date: str, as_of: str, refresh, max_age_days: int = 2) -> DataFrame:
-    """A parquet series, refreshed when stale.
+    """A cached series, refreshed when stale.
 
-    ``refresh()`` returns the new rows. If it fails, a stale series is used
-    rather than none; without any cached rows the failure is raised.
+    ``refresh()`` returns the new rows and may read the cache. They are written to
+    a folder of their own; only when that has been read back does the cache's list
+    of versions get it, in one appended file. So a refresh that fails, at once or
+    while it runs, leaves the cache as it was, and the stale rows are used; without
+    any cached rows the failure is raised. Earlier versions stay until removed.
     """
-    try:
-        cached = spark.read.parquet(path)
+    cached = _newest(spark, path)
+    if cached is not None:
         last = cached.agg(F.max(date).cast("date").alias("d"))
         age = last.select(F.datediff(F.to_date(F.lit(as_of)), "d")).first()[0]
         if age is not None and age <= max_age_days:
             return cached
-    except Exception:  # noqa: BLE001 - no cache yet
-        cached = None
     try:
-        refresh().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+        name = f"version-{uuid.uuid4().hex}"
+        refresh().write.parquet(f"{path}/{name}")
+        fresh = spark.read.parquet(f"{path}/{name}")
+        fresh.agg(F.max(date)).first()
     except Exception:
         if cached is None:
             raise
+        _log.warning("the refresh of %s failed; its stale rows are used", path, exc_info=True)
         return cached
+    versions = spark.range(1).select(F.lit(name).alias("name"), F.current_timestamp().alias("at"))
+    versions.coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    return fresh
+
+
+def _newest(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest version of a cached series, or None where there is no cache."""
+    try:
+        name = spark.read.parquet(f"{path}/versions").agg(F.max_by("name", "at")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return spark.read.parquet(f"{path}/{name}")

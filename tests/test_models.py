@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from ledgerloom.operators import isolation, models
 from ledgerloom.operators.series import Series
+from ledgerloom.plans.models import RISK_INPUTS
 
 Q = queries()
 
@@ -35,11 +36,21 @@ def test_outliers_score_highest(points, trees):
     assert set(got.nlargest(5, "anomaly_raw")["id"]) == set(range(200, 205))
 
 
-def test_isolation_draws_disjoint_samples_from_large_tables(spark):
-    df = spark.range(20_000).select("id", F.col("id").cast("double").alias("x"))
+@pytest.mark.parametrize("rows", [60, 1500, 20_000])
+def test_isolation_samples_are_of_one_size_at_any_number_of_rows(spark, rows):
+    df = spark.range(rows).select("id", F.col("id").cast("double").alias("x"))
     forest = isolation.fit(df, "id", ["x"], trees=20, sample=100)
     roots = forest[forest["node"] == 0]["size"]
-    assert len(roots) == 20 and roots.between(50, 160).all()
+    assert len(roots) == 20 and roots.between(min(rows, 55), 155).all()
+
+
+def test_draws_for_trees_are_independent(spark):
+    df = spark.range(4000).select("id")
+    drawn = isolation._drawn(df, "id", 30, 0.05, 42).toPandas()
+    assert not drawn.duplicated().any() and drawn["tree"].between(0, 29).all()
+    assert abs(len(drawn) / (4000 * 30) - 0.05) < 0.004
+    both = drawn[drawn["tree"] == 3].merge(drawn[drawn["tree"] == 4], on="id")
+    assert len(both) < 30
 
 
 def test_bootstrap_band_covers_the_line(spark):
@@ -110,7 +121,7 @@ def test_horizons_with_few_rows_are_left_out(spark):
 
 def test_attribution_sums_over_used_features(spark, sf):
     out = Q["row_attribution"](spark, sf).toPandas()
-    assert set(out.groupby(["portfolio_id", "date"]).size()) == {4}
+    assert set(out.groupby(["portfolio_id", "date"]).size()) == {len(RISK_INPUTS)}
     assert out["contribution"].abs().max() > 0
 
 

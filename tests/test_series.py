@@ -188,5 +188,13 @@ def test_latest_and_first_rows(hot):
 
 def test_numbering_over_slices(spark):
     ids = spark.range(0, 5000, 7).select("id")
-    out = numbered(ids, "id", "n", slice_ids=64).orderBy("id").toPandas()
+    out = numbered(ids, "id", "n", slices=7).orderBy("id").toPandas()
     assert list(out["n"]) == list(range(1, len(out) + 1))
+
+
+def test_numbering_of_sparse_ids_takes_few_ranges(spark):
+    ids = spark.range(3000).select(F.xxhash64("id").alias("id"))
+    out = numbered(ids, "id", "n", slices=5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+    assert list(out.orderBy("id").toPandas()["n"]) == list(range(1, 3001))

@@ -50,6 +50,24 @@ def test_cache_refreshes_only_when_stale(spark, tmp_path):
     assert str(stale.first()["d"]) == "2024-01-10"
 
 
+def test_a_refresh_that_fails_while_it_runs_leaves_the_cache(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    days = spark.createDataFrame([("2024-01-10", 1)], "day string, v int").selectExpr("CAST(day AS DATE) AS d", "v")
+    scan.cached_series(spark, path, "d", "2024-01-10", lambda: days)
+    lazily = lambda: days.withColumn("v", F.expr("raise_error('source gone')").cast("int"))
+    for _ in range(2):
+        assert [r["v"] for r in scan.cached_series(spark, path, "d", "2024-02-01", lazily).collect()] == [1]
+
+
+def test_a_refresh_may_read_its_own_cache(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    day = lambda d: spark.createDataFrame([(d,)], "day string").selectExpr("CAST(day AS DATE) AS d")
+    old = scan.cached_series(spark, path, "d", "2024-01-10", lambda: day("2024-01-10"))
+    new = scan.cached_series(spark, path, "d", "2024-02-01", lambda: old.unionByName(day("2024-02-01")))
+    assert sorted(str(r["d"]) for r in new.collect()) == ["2024-01-10", "2024-02-01"]
+    assert old.count() == 1 and scan.cached_series(spark, path, "d", "2024-02-01", lambda: 1 / 0).count() == 2
+
+
 def test_cutoff_reaches_the_scan(spark, sf):
     spark.read.parquet(f"{sf}/events.parquet").createOrReplaceTempView("ticks")
     df = scan.table_since(spark, "ticks", "ts", "2024-01-15").select("event_id")
