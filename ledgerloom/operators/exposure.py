@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import numeric_columns, ratio
+from ..session import lineage_cut
 from .quantiles import exact_quantiles
 from .series import Series, last_known, over_history
 from .sizes import attach_one_row, broadcast_if_small
@@ -174,9 +175,12 @@ def portfolio_rollup(
     """One row per portfolio and date with every concentration and risk feature.
 
     ``df`` holds positions with a credit utilisation. Totals per sector, per
-    counterparty and per portfolio come from one pass with grouping sets; only
-    the largest positions and the median spread read the positions again.
+    counterparty and per portfolio come from one pass with grouping sets. The
+    positions are written once, with the columns that count: the median spread
+    and the largest positions read those again, not the joins behind them.
     """
+    used = ["sector", "counterparty", "market_value", "bid_ask_spread", "volatility_30d", "credit_utilisation"]
+    df = lineage_cut(df.select(*dict.fromkeys([*GROUP, *used, *order])), "positions")
     median = exact_quantiles(df, "bid_ask_spread", {"median_spread": 0.5})
     spread = F.coalesce(F.nullif("bid_ask_spread", F.lit(0.0)), "median_spread")
     value = F.col("market_value")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,33 +14,54 @@ from ..session import lineage_cut
 from .sizes import broadcast_if_small
 
 OBJECTIVES = ["f1", "f2", "f3"]
+# Points of a slice, and most points a partition holds before it hands them on.
+SLICE = 100_000
+HELD = 500_000
 
 
-def _undominated(points: np.ndarray, by: np.ndarray) -> np.ndarray:
-    """Mask of points no row of ``by`` dominates."""
-    keep = np.ones(len(points), dtype=bool)
-    for lo in range(0, len(by), 512):
-        block = by[lo : lo + 512]
-        left = np.flatnonzero(keep)
-        for at in range(0, len(left), 4096):
-            idx = left[at : at + 4096]
-            p = points[idx][:, None, :]
-            dominated = ((block[None] <= p).all(-1) & (block[None] < p).any(-1)).any(1)
-            keep[idx[dominated]] = False
+def _undominated(points: np.ndarray) -> np.ndarray:
+    """Mask of the distinct points that no other dominates.
+
+    Whatever dominates a point comes before it in order of the objectives, so it
+    is enough to keep the staircase of second and third objective of what has
+    gone before, and to look one step up.
+    """
+    keep = np.zeros(len(points), dtype=bool)
+    f2: list[float] = []
+    f3: list[float] = []
+    for i in np.lexsort(points.T[::-1]).tolist():
+        _, second, third = points[i].tolist()
+        at = bisect_right(f2, second)
+        if at and f3[at - 1] <= third:
+            continue
+        keep[i] = True
+        # Steps that the new one makes needless: no lower second, no lower third.
+        if at and f2[at - 1] == second:
+            at -= 1
+        stop = at
+        while stop < len(f3) and f3[stop] >= third:
+            stop += 1
+        f2[at:stop], f3[at:stop] = [second], [third]
     return keep
 
 
 def _local_front(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    front = None
+    """Fewer points with the same front: what is held is reduced whenever it has doubled."""
+    held, size, reduced = [], 0, 0
     for pdf in batches:
-        front = pdf if front is None else pd.concat([front, pdf])
-        front = front.drop_duplicates(ignore_index=True)
-        pts = front[OBJECTIVES].to_numpy(dtype=float)
-        # Sorting by the sum first lets strong points clear the rest early.
-        order = np.argsort(pts.sum(1), kind="stable")
-        front = front.iloc[order][_undominated(pts[order], pts[order])].reset_index(drop=True)
-    if front is not None:
-        yield front
+        held.append(pdf)
+        size += len(pdf)
+        if size >= 2 * reduced:
+            front = pd.concat(held).drop_duplicates(ignore_index=True)
+            front = front[_undominated(front[OBJECTIVES].to_numpy(dtype=float))]
+            held, size = [front], len(front)
+            reduced = size
+            if size > HELD:  # handed on as it is; the slices do the rest
+                yield front
+                held, size, reduced = [], 0, 0
+    if held:
+        front = pd.concat(held).drop_duplicates(ignore_index=True)
+        yield front[_undominated(front[OBJECTIVES].to_numpy(dtype=float))]
 
 
 def _staircase(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -53,31 +75,31 @@ def _slice_front(own: pd.DataFrame, earlier: pd.DataFrame) -> pd.DataFrame:
     if len(own) == 0:
         return own
     pts = own[OBJECTIVES].to_numpy(dtype=float)
-    keep = _undominated(pts, pts)
+    keep = _undominated(pts)
     if len(earlier):
         stairs = earlier[["f2", "f3"]].sort_values(["f2", "f3"])
         f2, f3 = stairs["f2"].to_numpy(), np.minimum.accumulate(stairs["f3"].to_numpy())
         at = np.searchsorted(f2, pts[:, 1], side="right") - 1
-        # An earlier slice is strictly better in the first objective.
+        # Points of an earlier slice differ and are no worse in the first objective.
         keep &= ~((at >= 0) & (f3[np.maximum(at, 0)] <= pts[:, 2]))
     return own[keep]
 
 
-def pareto_front(candidates: DataFrame, slices: int = 32) -> DataFrame:
+def pareto_front(candidates: DataFrame, slices: int | None = None) -> DataFrame:
     """Candidates (id, f1, f2, f3) that no other candidate dominates.
 
-    Each partition reduces its distinct points to their own front. What
-    survives is sliced by the first objective; a slice needs its own points and
-    only the staircase of second and third objectives of the slices before it.
-    Candidates rejoin at the end, so many candidates at one point cost one.
+    Each partition reduces its distinct points to their own front. What survives
+    is dealt by ranges of all three objectives, of about ``SLICE`` points unless
+    ``slices`` says otherwise; a slice needs its own points and only the staircase
+    of second and third objectives of the slices before it. Candidates rejoin at
+    the end, so many candidates at one point cost one.
     """
     points = "f1 double, f2 double, f3 double"
-    local = candidates.select(*OBJECTIVES).mapInPandas(_local_front, points).distinct()
-    cuts = local.agg(
-        F.percentile_approx("f1", F.array(*[F.lit(i / slices) for i in range(1, slices)]), F.lit(1000)).alias("cuts")
-    )
-    number = F.size(F.filter("cuts", lambda c: c < F.col("f1")))
-    sliced = local.crossJoin(F.broadcast(cuts)).select(*OBJECTIVES, number.alias("slice"))
+    local = lineage_cut(candidates.select(*OBJECTIVES).mapInPandas(_local_front, points).distinct(), "local-fronts")
+    slices = slices or max(1, -(-local.count() // SLICE))
+    # Range bounds are sampled, so the deal is written rather than done again.
+    ranged = local.repartitionByRange(slices, *OBJECTIVES)
+    sliced = lineage_cut(ranged.select(*OBJECTIVES, F.spark_partition_id().alias("slice")), "slices")
     stairs = sliced.groupBy("slice").applyInPandas(_staircase, "slice int, f2 double, f3 double")
     later = stairs.where(F.col("slice") < slices - 1).select(
         F.explode(F.sequence(F.col("slice") + 1, F.lit(slices - 1))).alias("slice"), "f2", "f3"

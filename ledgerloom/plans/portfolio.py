@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import exposure
 from ..operators.sizes import broadcast_if_small
+from ..session import lineage_cut
 from ..sources import views
 from ..sources.views import PORTFOLIO_SERIES
 from .registry import query
@@ -225,11 +226,10 @@ def portfolio_rollup(spark, sf):
 
 
 def _summary(spark, sf):
-    base = exposure.hhi(views.positions(spark, sf))
-    for part in (
-        exposure.top_n_exposure(views.positions(spark, sf), ORDER),
-        exposure.sector_concentration(views.positions(spark, sf)),
-    ):
+    # Three features read the positions; the joins behind them run once.
+    rows = lineage_cut(views.positions(spark, sf).select("portfolio_id", "date", "sector", "market_value", *ORDER), "positions")
+    base = exposure.hhi(rows)
+    for part in (exposure.top_n_exposure(rows, ORDER), exposure.sector_concentration(rows)):
         base = base.join(part, ["portfolio_id", "date"])
     return base
 

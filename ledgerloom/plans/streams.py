@@ -48,7 +48,8 @@ def stream_alert_sliding(spark, sf):
 @query(
     "stream_level_change",
     f"""SELECT user_id, event_id, p AS from_level, risk_level AS to_level FROM
-        (SELECT *, lag(risk_level) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM ({_LEVELLED})) WHERE p <> risk_level""",
+        (SELECT *, lag(risk_level) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM ({_LEVELLED})) WHERE p <> risk_level
+        AND ts < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES""",
 )
 def stream_level_change(spark, sf):
-    return alerts.run_level_changes(alerts.events(spark, sf), shared_dir(spark, "levels"))
+    return alerts.run_to_table(alerts.level_changes(alerts.events(spark, sf)), shared_dir(spark, "levels"))

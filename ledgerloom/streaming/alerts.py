@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.exposure import risk_level
-from ..operators.series import Series, latest_row, over_history
 
 SCALE = 500.0
+# Event time after which a user without rows is forgotten.
+KEEP_US = 365 * 86_400 * 1_000_000
 # Fixed schema of the event stream.
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -57,49 +63,50 @@ def run_to_table(stream: DataFrame, path: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-LEVELS = Series(("user_id",), ("ts", "event_id"), "hour")
-
+def _changes(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """One user's changes of level, in order of event time.
 
-def level_changes(batch: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Changes of level per user in a batch, and the last level per user after it.
-
-    ``known`` is the last level per user before the batch. A busy user's rows
-    are cut by time like any other history.
+    The state is the last level that is settled and the rows the watermark has not
+    passed yet. Rows before the watermark are settled in order; of later ones the
+    earliest says when to look again.
     """
-    fresh = batch.select("user_id", "ts", "event_id", "risk_level", F.lit(True).alias("fresh"))
-    rows = fresh if known is None else fresh.unionByName(known.withColumn("fresh", F.lit(False)))
-    compared = over_history(
-        rows, LEVELS, lambda d, w: d.withColumn("from_level", F.lag("risk_level").over(w)), depth=1
-    )
-    changes = compared.where(F.col("fresh") & (F.col("from_level") != F.col("risk_level"))).select(
-        "user_id", "event_id", "from_level", F.col("risk_level").alias("to_level")
-    )
-    return changes, latest_row(rows.drop("fresh"), LEVELS)
-
-
-def run_level_changes(stream: DataFrame, path: str) -> DataFrame:
-    """Alert whenever a user's level differs from the one before.
-
-    The last level per user is a table per batch. A batch that is repeated
-    after a failure reads the table before it and overwrites its own output,
-    so the result does not change.
+    last, settled_us, waiting = state.get if state.exists else (None, None, "[]")
+    rows = [tuple(r) for r in json.loads(waiting)]
+    for frame in frames:
+        rows += zip(frame["us"].tolist(), frame["event_id"].tolist(), frame["risk_level"].tolist())
+    rows.sort()
+    mark = state.getCurrentWatermarkMs() * 1000
+    due = [r for r in rows if r[0] <= mark]
+    rows = rows[len(due) :]
+    out = []
+    for us, event, level in due:
+        if last is not None and level != last:
+            out.append((key[0], event, last, level))
+        last, settled_us = level, us
+    if rows or settled_us is None or settled_us + KEEP_US > mark:
+        state.update((last, settled_us, json.dumps(rows)))
+        next_us = rows[0][0] if rows else settled_us + KEEP_US
+        state.setTimeoutTimestamp(max(next_us, mark) // 1000 + 1)
+    else:
+        state.remove()
+    yield pd.DataFrame(out, columns=["user_id", "event_id", "from_level", "to_level"])
+
+
+def level_changes(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Events at which a user's level differs from the one before, in event order.
+
+    A row counts once the watermark has passed it, so how rows fall into batches
+    and in which order they come makes no difference; rows that come later than
+    the watermark allows are left out. A user without rows for ``KEEP_US`` of
+    event time is forgotten, and starts without a level before. A user's rows are
+    settled one after another, of each no more than come within ``late`` are held.
     """
-
-    def process(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = None
-        if batch_id > 0:
-            known = spark.read.parquet(f"{path}/state/batch={batch_id - 1}")
-        changes, state = level_changes(batch, known)
-        changes.write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
-        state.write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
-
-    query = (
-        levelled(stream)
-        .writeStream.foreachBatch(process)
-        .option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
+    rows = levelled(stream).withWatermark("ts", late)
+    rows = rows.select("user_id", "event_id", "ts", F.unix_micros("ts").alias("us"), "risk_level")
+    return rows.groupBy("user_id").applyInPandasWithState(
+        _changes,
+        "user_id long, event_id long, from_level string, to_level string",
+        "last string, settled_us long, waiting string",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
-    query.awaitTermination()
-    return stream.sparkSession.read.parquet(f"{path}/changes").drop("batch")

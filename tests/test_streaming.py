@@ -1,3 +1,4 @@
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerloom.streaming import alerts
@@ -18,14 +19,38 @@ def _landed(spark, tmp_path, sf, files=4):
     return events, str(tmp_path / "in")
 
 
-def test_level_changes_over_many_batches(spark, tmp_path, sf):
+def _land(spark, tmp_path, rows):
+    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+
+def test_level_changes_do_not_depend_on_batches(spark, tmp_path, sf):
     events, folder = _landed(spark, tmp_path, sf)
-    stream = alerts.events(spark, folder, "*.parquet", files_per_trigger=1)
-    got = alerts.run_level_changes(stream, str(tmp_path / "out"))
-    whole, _ = alerts.level_changes(alerts.levelled(events), None)
-    assert len(list((tmp_path / "out" / "state").glob("batch=*"))) == 4
-    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in whole.collect()}
-    assert got.count() > 0
+    found = []
+    for n in (1, None):
+        stream = alerts.events(spark, folder, "*.parquet", files_per_trigger=n)
+        out = alerts.run_to_table(alerts.level_changes(stream), str(tmp_path / f"out-{n}"))
+        found.append({tuple(r) for r in out.collect()})
+    late = F.expr("ts < (max(ts) OVER ()) - INTERVAL 10 MINUTES")
+    before = F.lag("risk_level").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    whole = alerts.levelled(events).withColumn("before", before).withColumn("settled", late).where("settled AND before <> risk_level")
+    want = {tuple(r) for r in whole.select("user_id", "event_id", "before", "risk_level").collect()}
+    assert found[0] == found[1] == want and want
+
+
+def test_a_late_row_takes_its_place_in_event_order(spark, tmp_path):
+    out = str(tmp_path / "out")
+
+    def run(late="8 hours"):
+        stream = alerts.events(spark, str(tmp_path / "in"), "*.parquet")
+        return {tuple(r)[1:] for r in alerts.run_to_table(alerts.level_changes(stream, late), out).collect()}
+
+    _land(spark, tmp_path, [(1, "2024-01-01 10:00:00", 1, "a", 310.0, "")])
+    assert run() == set()
+    _land(spark, tmp_path, [(2, "2024-01-01 05:00:00", 1, "a", 1.0, ""), (3, "2024-01-01 12:00:00", 1, "a", 310.0, "")])
+    assert run() == set()
+    _land(spark, tmp_path, [(4, "2024-01-02 12:00:00", 2, "a", 1.0, "")])
+    assert run() == {(1, "LOW", "HIGH")}
 
 
 def test_nothing_new_adds_nothing(spark, tmp_path, sf):
