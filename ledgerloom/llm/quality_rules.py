@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 from .shared import NEWLINE, SPACE, encoded, mixed, raw, running, slices, spans, table
 
 BASE_NGRAM = 5
-# The most a text may have of its word characters inside repeated n-grams of a length.
-NGRAM_SHARES = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
-LINE_SHARE = 0.30
-LINE_CHAR_SHARE = 0.20
+# The most a text may have of its word characters inside repeated n-grams of a length. None is under the
+# base's fifth, so that one line said twice does not reject an otherwise clean text.
+NGRAM_SHARES = {5: 0.25, 6: 0.24, 7: 0.23, 8: 0.22, 9: 0.21, 10: 0.20}
+LINE_SHARE = 0.50
+LINE_CHAR_SHARE = 0.35
+# Symbols for each word.
+SYMBOL_SHARE = 0.10
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 STEP = np.uint64(0x9E3779B97F4A7C55)
@@ -118,12 +121,13 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``base_failed``: under ten words, or over a fifth of them in repeated windows
     of five. ``kept`` further asks that characters in repeated n-grams, repeated
-    lines and characters in repeated lines stay within their shares.
+    lines, characters in repeated lines and symbols stay within their shares.
     """
     shares = shares or NGRAM_SHARES
     found = repetition_counts(docs, id_col, text_col, tuple(shares))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     fits = (F.col("n_dup_lines") <= LINE_SHARE * F.col("n_lines")) & (F.col("dup_line_chars") <= LINE_CHAR_SHARE * F.col("line_chars"))
+    fits &= F.col("n_symbols") <= SYMBOL_SHARE * F.col("n_words")
     for n, most in shares.items():
         fits &= F.col(f"dup_{n}gram_chars") <= most * F.col("word_chars")
     return found.withColumn("base_failed", failed).withColumn("kept", ~failed & fits)
