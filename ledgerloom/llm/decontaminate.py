@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from .shared import LOWER, SPACE, mixed, raw, running, slices, table
 
-Q = 10
+Q = 8
 # Edits allowed for each character of an item.
-RATE = 0.08
+RATE = 0.10
 BLOCK_BYTES = 4 << 20
 BLOCK_ITEMS = 20_000
 PART_BYTES = 2 << 20
