@@ -226,7 +226,23 @@ def stress_diff(spark, sf):
     return stress.differences(_stressed(spark, sf), "collateral_id")
 
 
-@query("scenario_catalog")
+def _catalogue_sql():
+    rows = []
+    for s in sc.STANDARD:
+        shocks = s["shocks"]
+        left_out = ", ".join(f"'{c}'" for c in shocks.get("exclude_asset_classes") or [])
+        rows.append(
+            f"('{s['scenario_id']}', '{s['name']}', '{s['severity']}', {shocks.get('rate_shift_bps', 0.0)},"
+            f" {shocks.get('equity_shock_pct', 0.0)}, CAST([{left_out}] AS VARCHAR[]))"
+        )
+    fixed = ", ".join(f"'{c}'" for c in stress.FIXED_INCOME)
+    return f"""SELECT scenario_id, name, severity, count(*) FILTER (WHERE asset_class IN ({fixed}) AND rate <> 0) AS rate_items,
+      count(*) FILTER (WHERE asset_class = 'Equity' AND equity <> 0) AS equity_items,
+      count(*) FILTER (WHERE list_contains(left_out, asset_class)) AS excluded_items
+      FROM v_pool, (VALUES {', '.join(rows)}) s(scenario_id, name, severity, rate, equity, left_out) GROUP BY 1, 2, 3"""
+
+
+@query("scenario_catalog", _catalogue_sql(), "v_pool")
 def scenario_catalog(spark, sf):
     """Every scenario with the number of pool items each of its shocks reaches."""
     pairs = _under(spark, sf)
