@@ -137,4 +137,32 @@ def op2_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def _sql() -> str:
+    """The same counts and verdicts in SQL, with windows as texts in place of hashes."""
+    lengths = list(NGRAM_SHARES)
+    grams = ", ".join(" || ' ' || ".join(f"lead(w, {k}) OVER o" if k else "w" for k in range(n)) + f" AS g{n}" for n in lengths)
+    twice = ", ".join(f"CASE WHEN g{n} IS NOT NULL AND count(*) OVER (PARTITION BY r, g{n}) > 1 THEN 1 ELSE 0 END AS t{n}" for n in lengths)
+    inside = ", ".join(f"max(t{n}) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS c{n}" for n in lengths)
+    chars = ", ".join(f"CAST(sum(c{n} * length(w)) AS BIGINT) AS dup_{n}gram_chars" for n in lengths)
+    filled = ", ".join(f"coalesce({c}, 0) AS {c}" for c in ["n_words", "word_chars", "n_repeat_words", *(f"dup_{n}gram_chars" for n in lengths)])
+    fits = " AND ".join(f"dup_{n}gram_chars <= {share} * word_chars" for n, share in NGRAM_SHARES.items())
+    return rf"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+words AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
+  FROM (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM docs)),
+per_words AS (SELECT r, count(*) AS n_words, CAST(sum(length(w)) AS BIGINT) AS word_chars, CAST(sum(c{BASE_NGRAM}) AS BIGINT) AS n_repeat_words, {chars}
+  FROM (SELECT *, {inside} FROM (SELECT *, {twice} FROM (SELECT *, {grams} FROM words WINDOW o AS (PARTITION BY r ORDER BY i)))) GROUP BY r),
+lines AS (SELECT *, row_number() OVER (PARTITION BY r, line) > 1 AS again
+  FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+per_lines AS (SELECT r, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS line_chars, count(*) FILTER (WHERE again) AS n_dup_lines,
+  CAST(coalesce(sum(length(line)) FILTER (WHERE again), 0) AS BIGINT) AS dup_line_chars FROM lines GROUP BY r),
+counted AS (SELECT doc_id, {filled}, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(n_lines, 0) AS n_lines, coalesce(line_chars, 0) AS line_chars, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(dup_line_chars, 0) AS dup_line_chars
+  FROM docs LEFT JOIN per_words USING (r) LEFT JOIN per_lines USING (r)),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted)
+SELECT *, NOT base_failed AND n_dup_lines <= {LINE_SHARE} * n_lines AND dup_line_chars <= {LINE_CHAR_SHARE} * line_chars
+  AND n_symbols <= {SYMBOL_SHARE} * n_words AND {fits} AS kept FROM judged"""
+
+
 QUERIES = {"op2_quality_rules": op2_quality_rules}
+ORACLES = {"op2_quality_rules": _sql()}
