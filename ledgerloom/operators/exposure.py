@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import numeric_columns, ratio
+from ..functions.numeric import numeric_columns, ratio, settled
 from ..session import lineage_cut
 from .quantiles import exact_quantiles
 from .series import Series, last_known, over_history
@@ -247,6 +247,15 @@ def risk_level(score: Column) -> Column:
     return F.when(score >= 0.85, "CRITICAL").when(score >= 0.60, "HIGH").when(score >= 0.35, "MEDIUM").otherwise("LOW")
 
 
+def portfolio_message(score: str, drivers: list[str], top: int = 3) -> Column:
+    """Text of a portfolio alert with its largest measures, the largest first."""
+    ranked = F.array_sort(F.array(*[F.struct((-F.col(c)).alias("v"), F.lit(c).alias("n")) for c in drivers]))
+    names = F.array_join(F.transform(F.slice(ranked, 1, top), lambda d: d["n"]), ", ")
+    return F.format_string(
+        "%s: portfolio %s scores %.3f, driven by %s", F.col("risk_level"), F.col("portfolio_id").cast("string"), settled(score), names
+    )
+
+
 def risk_alerts(scored: DataFrame, score: str) -> DataFrame:
     """Level of every row and whether it calls for action."""
     return scored.withColumn("risk_level", risk_level(F.col(score))).withColumn(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar
+from ..functions.numeric import settled
 from ..functions.rolling import Rolling
 from .series import Series, Step, chained, over_history
 from .sizes import broadcast_if_small
@@ -182,6 +183,16 @@ def forecast_alerts(
     return long.withColumn("breach_bps", F.coalesce(over, F.lit(0.0))).withColumn("alert_type", F.explode(fired))
 
 
+def forecast_message() -> Column:
+    """Text of a forecast alert; a budget that is not known is left out."""
+    told = F.format_string(
+        "%s: in %d days %s may pay %.1f bps, now it pays %.1f",
+        F.col("alert_type"), F.col("horizon_days"), F.col("instrument_type").cast("string"), settled("forecast_bps"), settled("current_rate_bps"),
+    )
+    budgeted = F.when(F.col("budget_rate_bps").isNotNull(), F.format_string(", budgeted are %.1f", settled("budget_rate_bps")))
+    return F.concat(told, F.coalesce(budgeted, F.lit("")))
+
+
 def build_features(df: DataFrame, series: Series, column: str = "rate_bps") -> DataFrame:
     """Lag, rolling, momentum and calendar features of a repo panel; the history is passed once."""
     steps = chained(lag_features_step(column), shifted_rolling_step(column), rate_change_accel_step(column))

@@ -375,6 +375,25 @@ def allocation_alerts(spark, sf):
     return allocation.allocation_alerts(runs).select("s_suppkey", "alert_type", "severity")
 
 
+@query(
+    "allocation_run_alerts",
+    "SELECT 'unreachable floor' AS run, 'OPTIMIZATION_FAILURE' AS alert_type, 'CRITICAL' AS severity",
+)
+def allocation_run_alerts(spark, sf):
+    """Alerts on two solves: one inside its recall limit, and one whose floor no item reaches."""
+    pool = collateral.cost_of_carry(collateral.rating_score(views.pool(spark, sf)))
+    failed = allocation.allocate_within_limits(pool, F.col("cost_of_carry"), 0.30, {"rating_score": ("min", 1.5)})
+    solves = {"limited": _multi(spark, sf), "unreachable floor": failed}
+    runs = None
+    for name, out in solves.items():
+        one = out.agg(
+            F.lit(name).alias("run"), F.first("status").alias("status"),
+            F.sum(F.col("allocation_weight") * F.col("recall_prob")).alias("recall_risk_weighted"),
+        )
+        runs = one if runs is None else runs.unionByName(one)
+    return allocation.allocation_alerts(runs, limit=0.15 + 1e-7).select("run", "alert_type", "severity")
+
+
 @query("recall_class", "SELECT collateral_id, CASE WHEN recall_prob >= 0.3 THEN 1 ELSE 0 END AS recall_class FROM v_pool", "v_pool")
 def recall_class(spark, sf):
     return views.pool(spark, sf).select("collateral_id", allocation.recall_class(F.col("recall_prob")).alias("recall_class"))

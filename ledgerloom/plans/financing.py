@@ -242,6 +242,21 @@ def forecast_alerts(spark, sf):
     return alerts.select("event_id", "horizon_days", "forecast_bps", "breach_bps", "alert_type")
 
 
+@query(
+    "forecast_messages",
+    f"""WITH joined AS (SELECT * FROM ({_NAIVE}) LEFT JOIN v_budget USING (instrument_type)), long AS ({_HORIZONS}),
+        fired AS (SELECT *, 'RATE_SPIKE' AS alert_type FROM long WHERE forecast_bps - current_rate_bps >= 10
+          UNION ALL SELECT *, 'BUDGET_BREACH' FROM long WHERE forecast_bps - budget_rate_bps >= 5)
+        SELECT event_id, horizon_days, printf('%s: in %d days %s may pay %.1f bps, now it pays %.1f', alert_type, horizon_days,
+          CAST(instrument_type AS VARCHAR), CAST(forecast_bps AS DOUBLE) + 1e-9, CAST(current_rate_bps AS DOUBLE) + 1e-9)
+          || coalesce(printf(', budgeted are %.1f', CAST(budget_rate_bps AS DOUBLE) + 1e-9), '') AS message FROM fired""",
+    "v_repo v_budget",
+)
+def forecast_messages(spark, sf):
+    alerts = financing.forecast_alerts(_naive(spark, sf), views.budget(spark, sf))
+    return alerts.select("event_id", "horizon_days", financing.forecast_message().alias("message"))
+
+
 @query("synthetic_panel")
 def synthetic_panel(spark, sf):
     bases = views.budget(spark, sf)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import right_closed_bin
 from ..operators import macro
 from ..operators.series import latest_rows
-from ..sources import views
+from ..sources import publish, views
 from ..sources.views import MACRO_DAYS
 from .registry import query
 
@@ -71,6 +71,24 @@ def curve_shape(spark, sf):
     return macro.curve_shape(_daily(spark, sf), MACRO_DAYS).select("date", *_curve)
 
 
+_TENORS = ["t_3mo", "t_2yr", "t_5yr", "t_10yr"]
+# Columns of the published curve.
+CURVE_TABLE = ["date", *_TENORS, "curve_slope_10y2y", "curve_butterfly", "run_id"]
+
+
+@query(
+    "publish_curve_snapshot",
+    f"""SELECT strftime(CAST(date AS DATE), '%Y-%m-%d') AS date, {', '.join(_TENORS)}, t_10yr - t_2yr AS curve_slope_10y2y,
+        2 * t_5yr - t_2yr - t_10yr AS curve_butterfly, 'run-1' AS run_id FROM ({_CURVE})""",
+    "v_macro",
+    " ".join([*_TENORS, "curve_slope_10y2y", "curve_butterfly"]),
+)
+def publish_curve_snapshot(spark, sf):
+    """The curve of every day as the published table has it."""
+    shape = macro.curve_shape(_daily(spark, sf), MACRO_DAYS).withColumnRenamed("curve_10y2y", "curve_slope_10y2y")
+    return publish.to_contract(shape.withColumn("run_id", F.lit("run-1")).withColumn("date", F.date_format("date", "yyyy-MM-dd")), CURVE_TABLE)
+
+
 _spreads = {}
 for c in macro.SPREADS:
     for n in (60, 120):

@@ -276,6 +276,25 @@ def risk_level(spark, sf):
     return exposure.risk_alerts(scored, "concentration_score").select("portfolio_id", "date", "risk_level", "alert_flag")
 
 
+@query(
+    "portfolio_messages",
+    f"""SELECT {G}, printf('%s: portfolio %s scores %.3f, driven by %s',
+          CASE WHEN s >= 0.85 THEN 'CRITICAL' WHEN s >= 0.60 THEN 'HIGH' WHEN s >= 0.35 THEN 'MEDIUM' ELSE 'LOW' END,
+          CAST(portfolio_id AS VARCHAR), s + 1e-9, drivers) AS message
+        FROM (SELECT {G}, CAST(least(top5_exposure_pct / 50, 1) AS DOUBLE) AS s, (SELECT string_agg(n, ', ' ORDER BY v DESC, n) FROM
+          (VALUES ('hhi_portfolio', CAST(hhi_portfolio AS DOUBLE)), ('max_sector_weight', CAST(max_sector_weight AS DOUBLE)),
+          ('top5_exposure_pct', top5_exposure_pct / 100.0)) t(n, v)) AS drivers FROM ({_SUMMARY}))""",
+    "v_pos",
+    "",
+    "date",
+)
+def portfolio_messages(spark, sf):
+    table = _summary(spark, sf).withColumn("score", F.least(F.col("top5_exposure_pct") / 50, F.lit(1.0)))
+    scored = exposure.risk_alerts(table, "score").withColumn("top5_exposure_pct", F.col("top5_exposure_pct") / 100)
+    message = exposure.portfolio_message("score", ["hhi_portfolio", "max_sector_weight", "top5_exposure_pct"])
+    return scored.select("portfolio_id", "date", message.alias("message"))
+
+
 @query(
     "align_features",
     f"SELECT {G}, max_sector_weight, CAST(0 AS DOUBLE) AS settlement_lag, hhi_sector FROM ({_SECTOR})",

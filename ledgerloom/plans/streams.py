@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators.squeeze import squeeze_tier
 from ..session import shared_dir
 from ..streaming import alerts
 from .registry import query
@@ -20,6 +21,24 @@ def stream_alerts(spark, sf):
     return alerts.run_to_table(alerts.actionable(alerts.events(spark, sf)), shared_dir(spark, "alerts"))
 
 
+@query(
+    "stream_rule_alerts",
+    """SELECT event_id, user_id, 'squeeze' AS rule, CASE WHEN value / 500 >= 0.80 THEN 'CRITICAL' ELSE 'HIGH' END AS level FROM events WHERE value / 500 >= 0.60
+       UNION ALL SELECT event_id, user_id, 'anomaly', CASE WHEN value / 500 > 0.9 THEN 'CRITICAL' ELSE 'WARNING' END FROM events WHERE value / 500 > 0.7
+       UNION ALL SELECT event_id, user_id, 'budget', 'BUDGET_BREACH' FROM events WHERE value - 300 >= 5""",
+)
+def stream_rule_alerts(spark, sf):
+    """Squeeze tier, anomaly level and budget breach of every event."""
+    score = F.col("value") / alerts.SCALE
+    tier = squeeze_tier(score)
+    rules = {
+        "squeeze": (tier.isin("HIGH", "CRITICAL"), tier),
+        "anomaly": (score > 0.7, F.when(score > 0.9, "CRITICAL").otherwise("WARNING")),
+        "budget": (F.col("value") - 300 >= 5, F.lit("BUDGET_BREACH")),
+    }
+    return alerts.run_to_table(alerts.rule_alerts(alerts.events(spark, sf), rules), shared_dir(spark, "rules"))
+
+
 _CLOSED = "WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import tempfile
 import uuid
 
@@ -27,6 +29,14 @@ def local_session(cores: int | str = "*", name: str = "ledgerloom") -> SparkSess
     return spark
 
 
+@functools.cache
+def _local_base() -> str:
+    """One temporary folder for this process, removed when it ends."""
+    folder = tempfile.TemporaryDirectory(prefix="ledgerloom-", ignore_cleanup_errors=True)
+    atexit.register(folder.cleanup)
+    return folder.name
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the shared checkpoint folder the session names.
 
@@ -38,7 +48,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="ledgerloom-")
+        base = _local_base()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

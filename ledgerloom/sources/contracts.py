@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from ..functions.numeric import nan_to_null
 
 
+def merged(config: dict, sections: list[str]) -> dict:
+    """Sections of a configuration as one mapping; of equal keys the later section's wins, absent sections are empty."""
+    return {k: v for name in sections for k, v in (config.get(name) or {}).items()}
+
+
 def normalise_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[re.sub(r"\s+", "_", c.strip().lower()) for c in df.columns])
 

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -38,6 +38,16 @@ def actionable(stream: DataFrame) -> DataFrame:
     )
 
 
+def rule_alerts(stream: DataFrame, rules: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """A row for every rule that fires on an event: its name and the level it gives.
+
+    A rule is a condition and a level. Rules look at one event each, so the job
+    keeps no state and any partitioning will do.
+    """
+    fired = [F.when(fires, F.struct(F.lit(name).alias("rule"), level.alias("level"))) for name, (fires, level) in rules.items()]
+    return stream.select("event_id", "user_id", F.explode(F.array_compact(F.array(*fired))).alias("r")).select("event_id", "user_id", "r.*")
+
+
 def alert_counts(stream: DataFrame, window: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Counts per level in event-time windows; rows later than the watermark are dropped."""
     return (

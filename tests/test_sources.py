@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.sources import publish, scan
-from ledgerloom.sources.contracts import Contract, coerce_numeric, normalise_headers
+from ledgerloom.sources.contracts import Contract, coerce_numeric, merged, normalise_headers
 from ledgerloom.sources.synthetic import random_walk_panel
 
 
@@ -88,3 +88,8 @@ def test_walk_is_repeatable_and_never_negative(spark):
     assert out.where(F.weekday("date") > 4).count() == 0
     again = random_walk_panel(base.repartition(3), "k", "base", "2024-01-31")
     assert out.exceptAll(again).count() == 0
+
+
+def test_later_sections_win():
+    config = {"rates": {"sofr": "A", "ff": "B"}, "curve": {"ff": "C"}, "empty": None}
+    assert merged(config, ["rates", "curve", "empty", "absent"]) == {"sofr": "A", "ff": "C"}
