@@ -175,6 +175,22 @@ def stress_metrics(spark, sf):
     return stress.metrics(_stressed(spark, sf)).drop("breach_thresholds")
 
 
+_IDS = ", ".join(f"('{s['scenario_id']}')" for s in sc.STANDARD)
+
+
+@query(
+    "stress_days_to_cover",
+    f"""SELECT scenario_id, d AS days_to_cover_delta FROM (VALUES {_IDS}) s(scenario_id),
+        (SELECT sum(CASE WHEN asset_class = 'Equity' THEN days_to_cover ELSE 0 END) / count(days_to_cover) AS d FROM v_pool)""",
+    "v_pool",
+    "days_to_cover_delta",
+)
+def stress_days_to_cover(spark, sf):
+    """The days-to-cover measure, on a book whose equity takes twice as long to cover."""
+    longer = F.when(F.col("asset_class") == "Equity", 2 * F.col("days_to_cover")).otherwise(F.col("days_to_cover"))
+    return stress.metrics(_stressed(spark, sf).withColumn("days_to_cover", longer)).select("scenario_id", "days_to_cover_delta")
+
+
 _PNL = f"""SELECT *, -(collateral_shortfall_usd + financing_cost_delta_bps / 10000 * 1e9 + capital_charge_delta_usd * 0.1) AS pnl_impact_usd
   FROM ({_METRICS})"""
 
