@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import table, written
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -56,6 +56,7 @@ LEAST_PAGES = 8
 LOW = 0.25
 LOW_IN_ARTICLE = 0.02
 GAMMA = 0.9
+BROADCAST_BRANCHES = 200_000
 
 
 def short(text: str) -> int:
@@ -234,19 +235,22 @@ def low_branches(rows: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     pages = seen.select("host", "path", "block", "page").distinct().groupBy("host", "path", "block").agg(F.count("*").alias("m"))
     spread = F.when(F.col("m") > 1, F.log("c") / F.log("m")).otherwise(0.0)
     share = F.col("c") / F.col("m")
-    with_m = counts.join(pages, ["host", "path", "block"])
+    # Only how many contents there are of each count matters: a few rows for a path, however many pages it has.
+    kinds = counts.groupBy("host", "path", "block", "c").agg(F.count("*").alias("k"), F.max("article").alias("article"))
+    with_m = kinds.join(pages, ["host", "path", "block"])
+    seen_on = F.col("k") * F.col("c")
     content = (
         with_m.where("block")
         .groupBy("host", "path")
-        .agg(F.sum(F.col("c") * (1 - spread)).alias("told"), F.sum("c").alias("n"), F.max("m").alias("m"), F.max("article").alias("article"))
+        .agg(F.sum(seen_on * (1 - spread)).alias("told"), F.sum(seen_on).alias("n"), F.max("m").alias("m"), F.max("article").alias("article"))
     )
     presentation = (
         with_m.where("not block")
         .groupBy("host", "path")
         .agg(
             F.max(F.when(F.col("m") > 1, 0.0).otherwise(1.0)).alias("alone"),
-            F.sum(F.when(F.col("m") > 1, -share * F.log(share) / F.log("m")).otherwise(0.0)).alias("varied"),
-            F.count("*").alias("styles"),
+            F.sum(F.when(F.col("m") > 1, -F.col("k") * share * F.log(share) / F.log("m")).otherwise(0.0)).alias("varied"),
+            F.sum("k").alias("styles"),
         )
     )
     # Every block counts for all branches above it.
@@ -276,7 +280,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     source = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html")
     )
-    joined = source.join(low_branches(tree_rows(source)), "host", "left").select("id", "url", "html", "low")
+    # Written, as several aggregations read the rows; pages are not parsed for each of them.
+    low = written(low_branches(written(tree_rows(source), "tree-rows")), "low-branches")
+    size = low.agg(F.sum(F.size("low"))).first()[0] or 0
+    # Pages stay where they are while the branches to cut are few; beyond that they meet by host.
+    joined = source.join(F.broadcast(low) if size <= BROADCAST_BRANCHES else low, "host", "left").select("id", "url", "html", "low")
     kind = source.schema["id"].dataType.simpleString()
 
     def text(source, low) -> str:
