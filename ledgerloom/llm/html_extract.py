@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
@@ -57,6 +58,8 @@ LOW = 0.25
 LOW_IN_ARTICLE = 0.02
 GAMMA = 0.9
 BROADCAST_BRANCHES = 200_000
+# Elements nested deeper are read as if their tags were not there, as browsers do.
+MOST_DEPTH = 512
 
 
 def short(text: str) -> int:
@@ -91,6 +94,7 @@ class Page:
         self.elements: list[tuple[str, str]] = []
         self.stack = [("", "", False, False, [])]  # tag, path, furniture, article, children
         self.parts: list[str] = []
+        self.too_deep: Counter[str] = Counter()
         self._read(source or "")
 
     def _flush(self) -> None:
@@ -147,6 +151,9 @@ class Page:
             self.parts += [" "] if tag == "br" and self.parts else []
         if tag in VOID:
             return
+        if len(self.stack) > MOST_DEPTH:
+            self.too_deep[tag] += 1
+            return
         words, role = names_of(attributes) if attributes else ([], "")
         _, path, furniture, article, children = self.stack[-1]
         name = ".".join([tag, *sorted({re.sub(r"\d+", "#", w) for w in words})])
@@ -158,6 +165,11 @@ class Page:
         self.stack.append((tag, f"{path}/{name}", furniture, article, []))
 
     def _end(self, tag: str) -> None:
+        if self.too_deep[tag]:
+            self.too_deep[tag] -= 1
+            if tag in BLOCK:
+                self._flush()
+            return
         for depth in range(len(self.stack) - 1, 0, -1):
             if self.stack[depth][0] == tag:
                 self._close_to(depth)

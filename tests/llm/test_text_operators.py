@@ -138,6 +138,11 @@ def test_main_text_of_a_page():
     assert blocks == ["Head & tail", "One bold line next", "Two <x>", "first", "second"]
 
 
+def test_very_deep_pages_take_no_more_than_their_length():
+    deep = html_extract.Page("<div>" * 50_000 + "deep" + "</div>" * 50_000 + "<p>after</p>" + "</b>" * 50_000)
+    assert [t for _, t, _ in deep.main_blocks()] == ["deep", "after"]
+
+
 def test_pages_of_the_tables(spark, sf1):
     out = html_extract.op7_html_extract(spark, sf1).toPandas()
     want = {}
