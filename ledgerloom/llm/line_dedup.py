@@ -98,6 +98,17 @@ def hashed_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
     )
 
 
+def line_owners(lines: DataFrame, batches: int, buckets: int, fanout: int) -> DataFrame:
+    """Every line hash with the smallest document that holds it, from the runs of all batches."""
+    runs = Runs(lines.sparkSession, buckets, fanout)
+    try:
+        for k in range(batches):
+            runs.add(lines.where(F.col("batch") == k).groupBy("h1", "h2").agg(F.min("doc").alias("owner")))
+        return runs.owners()
+    finally:
+        runs.close()
+
+
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 2,
     names: tuple[str, str, str] = ("kept_text", "n_lines", "n_dropped"),
@@ -127,11 +138,7 @@ def dedup_lines(
     number = sum((F.when(F.col("doc") > e, 1).otherwise(0) for e in edges), F.lit(0))
     lines = written(lines.withColumn("batch", number), "lines", "none")
 
-    runs = Runs(spark, buckets, fanout)
-    for k in range(len(edges) + 1):
-        held = lines.where(F.col("batch") == k).groupBy("h1", "h2").agg(F.min("doc").alias("owner"))
-        runs.add(held)
-    owners = runs.owners()
+    owners = line_owners(lines, len(edges) + 1, buckets, fanout)
     drops = (
         lines.join(owners.hint("merge"), ["h1", "h2"])
         .where(F.col("owner") < F.col("doc"))
@@ -148,14 +155,12 @@ def dedup_lines(
     kept = F.transform(
         F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_drops")), lambda i: F.get(F.col("_parts"), i)
     )
-    out = found.withColumn("_parts", parts).select(
+    return found.withColumn("_parts", parts).select(
         *docs.columns,
         F.when(F.col("_drops").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(kept, "\n")).alias(names[0]),
         F.size("_parts").cast("long").alias(names[1]),
         F.coalesce(F.size("_drops"), F.lit(0)).cast("long").alias(names[2]),
     )
-    runs.close()
-    return out
 
 
 def drop_repeated_lines(
