@@ -159,7 +159,7 @@ def dedup_lines(
         *docs.columns,
         F.when(F.col("_drops").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(kept, "\n")).alias(names[0]),
         F.size("_parts").cast("long").alias(names[1]),
-        F.coalesce(F.size("_drops"), F.lit(0)).cast("long").alias(names[2]),
+        F.when(F.col("_drops").isNull(), 0).otherwise(F.size("_drops")).cast("long").alias(names[2]),
     )
 
 
