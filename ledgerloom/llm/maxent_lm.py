@@ -30,7 +30,9 @@ RATE = 0.4
 BATCH = 4096
 FREQUENT = 200_000
 ADD = 0.1
-COUNT_BYTES = 16 << 20
+# Text that a task looks at together: to count words, and to train or score.
+COUNT_BYTES = 6 << 20
+PART_BYTES = 2 << 20
 STARTS = np.uint64(0x51ED270B35CF9A1D)
 
 
@@ -150,7 +152,7 @@ def train(texts: DataFrame, rounds: int = ROUNDS) -> Weights:
             weights = Weights()
             weights.bias, weights.table = start.bias.copy(), start.table.copy()
             trainer = Trainer(weights)
-            for part in slices(batches, "text"):
+            for part in slices(batches, "text", PART_BYTES):
                 token, owner, distinct, kind = tokens(part.column("text"))
                 features, kinds = contexts(token, owner, distinct), kind[token]
                 for at in range(0, len(token), BATCH):
@@ -213,7 +215,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     weights = train(learned, rounds)
 
     def run(batches):
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", PART_BYTES):
             rows = part.num_rows
             token, owner, distinct, kind = tokens(part.column("text"))
             place = pc.fill_null(pc.index_in(distinct, value_set=top_words), len(top_counts) - 1)
