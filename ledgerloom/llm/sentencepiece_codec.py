@@ -22,8 +22,8 @@ from .shared import encoded, raw, slices, table
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 # Chunks a task keeps; beyond it the table starts anew, which costs time only.
-TABLE_ROWS = 400_000
-SLICE = 8 << 20
+TABLE_ROWS = 250_000
+SLICE = 3 << 20
 
 
 def model_file(name: str = MODEL) -> str:
@@ -98,18 +98,15 @@ def cut(column: pa.Array):
     Every text gets its leading marker; texts without a character have no chunk.
     """
     data, offsets = raw(column)
-    rows = len(offsets) - 1
     full = np.diff(offsets) > 0
-    out = np.full(len(data) + int(full.sum()), 32, np.uint8)
-    row = np.repeat(np.arange(rows), np.diff(offsets))
-    shift = np.cumsum(full)
-    out[np.arange(len(data)) + shift[row]] = data
-    begins = np.zeros(len(out), bool)
+    firsts = (offsets[:-1] + np.cumsum(full) - 1)[full]
+    brought = np.ones(len(data) + len(firsts), bool)
+    brought[firsts] = False
+    out = np.full(len(brought), 32, np.uint8)
+    out[brought] = data
     space = out == 32
-    begins[:1] = True
-    begins[1:] = space[1:] & ~space[:-1]
-    firsts = (offsets[:-1] + shift - 1)[full]
-    begins[firsts] = True
+    begins = ~brought
+    begins[1:] |= space[1:] & ~space[:-1]
     starts = np.flatnonzero(begins)
     ends = np.append(starts[1:], len(out))[: len(starts)]
     ids, distinct = encoded(out, np.zeros(len(out), bool), starts, ends)
