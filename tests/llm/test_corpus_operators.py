@@ -12,7 +12,7 @@ import xxhash
 
 import corpus_pipeline
 from check import differences
-from ledgerloom.llm import decontaminate, line_dedup, load, simhash_dedup
+from ledgerloom.llm import decontaminate, line_dedup, load, shingle_dedup, simhash_dedup
 
 from .cases import ODD_TEXTS, empty_frame, lower, odd_frame, rows, words
 
@@ -117,6 +117,46 @@ def test_near_duplicates_of_odd_rows(spark):
     assert simhash_dedup.drop_near_duplicates(empty_frame(spark)).count() == 0
 
 
+def runs_by_hand(text):
+    w = words(lower(text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_stage_drops_edited_copies_and_no_others(spark, sf):
+    random.seed(11)
+    texts = [t for _, t, _ in rows(sf) if 40 <= len(words(t)) <= 400][:60]
+    docs = list(enumerate(texts + ODD_TEXTS))
+    for t in texts[:30]:
+        for edits in (1, 2, 3, 5):
+            w = words(t)
+            for p in random.sample(range(len(w)), edits):
+                w[p] = "edited"
+            docs.append((len(docs), " ".join(w)))
+    # A group of many, none of which is more like one than like the others.
+    base = words(texts[40])[:120] or ["w"]
+    for k in range(60):
+        w = list(base)
+        w[k % len(w)] = f"other{k}"
+        docs.append((len(docs), " ".join(w)))
+    random.shuffle(docs)
+    sets = [runs_by_hand(t) for _, t in docs]
+    near = [(i, j) for i in range(len(docs)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    label = simhash_dedup.smallest(np.array([i for i, _ in near]), np.array([j for _, j in near]), len(docs))
+    want = {min(docs[i][0] for i in np.flatnonzero(label == part)) for part in set(label)}
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, frame, sf).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_members_that_no_leader_links_are_found(spark, monkeypatch):
+    # All in one bucket of each band: only what is compared across components can link the pairs.
+    monkeypatch.setattr(shingle_dedup, "bands", lambda found: np.arange(shingle_dedup.BANDS).astype(np.uint64))
+    w = [[f"w{k}x{i}" for i in range(100)] for k in range(60)]
+    docs = [(2 * k + half, " ".join(x[half:])) for k, x in enumerate(w) for half in (0, 1)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["doc_id"] for r in shingle_dedup.drop_near_copies(frame).collect()} == {2 * k for k in range(60)}
+
+
 @pytest.fixture(scope="module")
 def items():
     return duckdb.sql("SELECT item_id, text FROM '/root/testdata/sf0.01/benchmark.parquet' ORDER BY 1").fetchall()
