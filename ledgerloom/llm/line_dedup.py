@@ -109,15 +109,27 @@ def line_owners(lines: DataFrame, batches: int, buckets: int, fanout: int) -> Da
         runs.close()
 
 
+def whole_copies(keyed: DataFrame) -> DataFrame:
+    """doc and text fingerprint of every row whose line keys, short ones too, a smaller ``_id`` has in the same order, with position -1."""
+    whole = F.filter(F.transform(F.split("_text", "\n", -1), line_key), lambda key: F.char_length(key) > 0)
+    found = keyed.select(
+        F.col("_id").alias("doc"), F.xxhash64("_text").alias("th"), F.xxhash64(whole).alias("w1"), F.xxhash64(F.lit("second"), whole).alias("w2")
+    )
+    first = found.groupBy("w1", "w2").agg(F.min("doc").alias("first"))
+    return found.join(first, ["w1", "w2"]).where("first < doc").select("doc", "th", F.lit(-1).alias("pos"))
+
+
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 2,
-    names: tuple[str, str, str] = ("kept_text", "n_lines", "n_dropped"),
+    names: tuple[str, str, str] = ("kept_text", "n_lines", "n_dropped"), copy_name: str | None = None,
 ) -> DataFrame:
     """Drop lines that a document with a smaller id holds too.
 
     Returns every row and column of ``docs`` with ``kept_text``, ``n_lines`` and
     ``n_dropped`` (or other ``names``) in addition; columns of these names are
-    replaced. Names that begin with an underscore are the operator's own.
+    replaced. Names that begin with an underscore are the operator's own. With
+    ``copy_name`` a column tells whether a document with a smaller id has all
+    lines of the row.
 
     A null or empty text is one empty line and stays. A key repeated in its own
     first document stays there as often as it occurs; rows that repeat an id are
@@ -139,12 +151,10 @@ def dedup_lines(
     lines = written(lines.withColumn("batch", number), "lines", "none")
 
     owners = line_owners(lines, len(edges) + 1, buckets, fanout)
-    drops = (
-        lines.join(owners.hint("merge"), ["h1", "h2"])
-        .where(F.col("owner") < F.col("doc"))
-        .groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th"))
-        .agg(F.collect_set("pos").alias("_drops"))
-    )
+    drops = lines.join(owners.hint("merge"), ["h1", "h2"]).where(F.col("owner") < F.col("doc"))
+    if copy_name:
+        drops = drops.select("doc", "th", "pos").unionByName(whole_copies(keyed))
+    drops = drops.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_set("pos").alias("_drops"))
     parts = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
     own = F.coalesce(F.col(id_col).cast("long"), last)
     found = docs.join(
@@ -155,11 +165,14 @@ def dedup_lines(
     kept = F.transform(
         F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_drops")), lambda i: F.get(F.col("_parts"), i)
     )
+    gone = F.array_remove("_drops", -1) if copy_name else F.col("_drops")
+    copy = [F.coalesce(F.array_contains("_drops", -1), F.lit(False)).alias(copy_name)] if copy_name else []
     return found.withColumn("_parts", parts).select(
         *docs.columns,
         F.when(F.col("_drops").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(kept, "\n")).alias(names[0]),
         F.size("_parts").cast("long").alias(names[1]),
-        F.when(F.col("_drops").isNull(), 0).otherwise(F.size("_drops")).cast("long").alias(names[2]),
+        F.when(F.col("_drops").isNull(), 0).otherwise(F.size(gone)).cast("long").alias(names[2]),
+        *copy,
     )
 
 
@@ -168,12 +181,15 @@ def drop_repeated_lines(
 ) -> DataFrame:
     """``docs`` with the kept lines as text and their code points as ``chars_col``, if there is one.
 
-    Rows that lose lines and keep none whose key has ``min_chars`` code points
-    are copies and go; a text that lost nothing stays as it is.
+    A row that lost lines goes if it keeps nothing but white space, or if it keeps
+    no line whose key has ``min_chars`` code points and a document with a smaller
+    id has all its lines in the same order, the short ones too. Other rows stay
+    with their short lines, and a text that lost nothing stays as it is.
     """
-    found = dedup_lines(docs, id_col, text_col, min_chars, names=("_kept", "_lines", "_dropped"), **options)
-    own = F.exists(F.split("_kept", "\n", -1), lambda line: F.char_length(F.btrim(line, F.lit(BLANKS))) >= min_chars)
-    found = found.where((F.col("_dropped") == 0) | own)
+    found = dedup_lines(docs, id_col, text_col, min_chars, names=("_kept", "_lines", "_dropped"), copy_name="_copy", **options)
+    size = lambda line: F.char_length(F.btrim(line, F.lit(BLANKS)))
+    own = F.exists(F.split("_kept", "\n", -1), lambda line: size(line) >= min_chars)
+    found = found.where((F.col("_dropped") == 0) | own | (~F.col("_copy") & (size(F.col("_kept")) > 0)))
     text = F.when(F.col("_dropped") == 0, F.col(text_col)).otherwise(F.col("_kept"))
     columns = [
         text.alias(c) if c == text_col else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == chars_col else F.col(c)

@@ -57,6 +57,15 @@ def test_lines_of_odd_rows(spark):
     assert line_dedup.dedup_lines(empty_frame(spark)).count() == 0
 
 
+def test_short_lines_of_a_document_with_a_shared_line_stay(spark):
+    shared = "All rights reserved by the house"
+    poem = f"one leaf\ntwo leaf\n{shared}"
+    texts = [f"The first of all has this line.\n{shared}", poem, poem.upper(), f"a\nb\n{shared}", f"{shared}\n \n\t", "a\nb", None]
+    frame = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(frame).collect()}
+    assert out == {1: texts[0], 2: "one leaf\ntwo leaf", 4: "a\nb", 6: "a\nb", 7: None}
+
+
 def fingerprint_by_hand(text):
     w = words(lower(text or ""))
     if not w:
