@@ -1,10 +1,12 @@
-"""License scans: winnowed template fingerprints pick candidates, banded alignment confirms them.
+"""License scans: template k-grams pick candidates, banded alignment confirms them.
 
-Templates are cut into word k-grams; of every window of k-grams the one with the
-smallest hash enters an inverted index. Words of the documents that no template
+Templates are cut into word k-grams, which enter an inverted index: those winnowed
+from every window if the words that may differ always leave a whole window, else
+all, and shorter ones too where not even a k-gram is sure to be left. Words of the documents that no template
 has cannot match, so k-grams are formed from the ids of template words and are
 exact. Where a document meets the index, the template is aligned with the words
-around that place within a band, which gives the matched share and the span.
+around that place within a band, which gives the matched share and the span. The
+span has to hold the template's numbers and name the same kind of license.
 """
 
 from __future__ import annotations
@@ -61,6 +63,28 @@ TEMPLATES = {
         "that the above copyright notice and this permission notice appear in all copies."
     ),
 }
+TEMPLATES |= {
+    f"CC-{kind}-{v}": f"Licensed under CC {kind} {v}"
+    for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND") for v in ("2.0", "2.5", "3.0", "4.0") if (kind, v) != ("BY-NC", "4.0")
+} | {
+    "Apache-1.1": "Licensed under the Apache License, Version 1.1",
+    "Apache-1.0": "Licensed under the Apache License, Version 1.0",
+}
+# The long header keeps its words, but for the kind and version.
+for _name, _kind, _version in [
+    ("GPL-1.0", "", "1"), ("GPL-2.0", "", "2"), ("LGPL-2.0", "Library ", "2"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"),
+    ("AGPL-3.0", "Affero ", "3"),
+]:
+    TEMPLATES[_name] = TEMPLATES["GPL-3.0"].replace("General", f"{_kind}General").replace("version 3", f"version {_version}")
+    TEMPLATES[f"{_name} header"] = TEMPLATES["GPL-3.0 header"].replace("General", f"{_kind}General").replace("version 3", f"version {_version}")
+# What tells kinds of a family apart, after the words that it stands behind.
+KINDS = {b"cc": {b"nc", b"sa", b"nd"}, b"gnu": {b"lesser", b"library", b"affero"}}
+
+
+def marks(span: list[bytes]) -> tuple[set[bytes], set[bytes]]:
+    """Numbers, and words that name the kind of license, of a span of words."""
+    kinds = {w for i, w in enumerate(span) for family, named in KINDS.items() if w in named and family in span[max(0, i - 4 if family == b"cc" else i - 1) : i]}
+    return {w for w in span if w.isdigit()}, kinds
 
 
 def words(column: pa.Array):
@@ -86,9 +110,9 @@ def kgrams(ids: np.ndarray, row: np.ndarray, k: int, base: int) -> tuple[np.ndar
 
 
 class Index:
-    """Words of all templates and the places of their winnowed k-grams."""
+    """Words of all templates and the places of their k-grams."""
 
-    def __init__(self, templates: dict[str, str], k: int = K, window: int = WINDOW):
+    def __init__(self, templates: dict[str, str], k: int = K, window: int = WINDOW, coverage: float = COVERAGE):
         self.names = list(templates)
         _, _, row, ids, distinct, _ = words(pa.array(list(templates.values()), pa.string()))
         self.vocabulary = {w: i + 1 for i, w in enumerate(distinct.to_pylist())}
@@ -96,9 +120,19 @@ class Index:
         if self.base**k >= 2**62:
             raise ValueError("the templates have too many different words for exact k-grams")
         self.templates = [ids[row == i] + 1 for i in range(len(self.names))]
-        entries = []
+        named = distinct.to_pylist()
+        self.marks = [marks([named[w - 1] for w in template]) for template in self.templates]
+        entries, self.ks = [], set()
         for i, template in enumerate(self.templates):
-            at, code = kgrams(template, np.zeros(len(template), np.int64), k, self.base)
+            # What may differ cuts the template into pieces, the longest of which has ``left`` words or more.
+            differ = len(template) - int(np.ceil(coverage * len(template) - 1e-9))
+            left = -(-(len(template) - differ) // (differ + 1))
+            size = max(1, min(k, left))
+            self.ks.add(size)
+            at, code = kgrams(template, np.zeros(len(template), np.int64), size, self.base)
+            if left < size + window - 1:
+                entries += [(int(c), i, int(p)) for c, p in zip(code, at)]
+                continue
             hashes = mixed(code)
             chosen = {int(s + hashes[s : s + window].argmin()) for s in range(max(1, len(at) - window + 1)) if len(at)}
             entries += [(int(code[p]), i, int(at[p])) for p in chosen]
@@ -146,9 +180,10 @@ def align(template: np.ndarray, text: np.ndarray, first: int, slack: int) -> tup
 def find(index: Index, column: pa.Array, coverage: float = COVERAGE):
     """(row, template, matched words, start, stop) of every match in a slice; places are bytes of the text."""
     starts, ends, row, ids, distinct, offsets = words(column)
-    known = np.array([index.vocabulary.get(w, 0) for w in distinct.to_pylist()], np.int64)
+    named, plain = distinct.to_pylist(), ids
+    known = np.array([index.vocabulary.get(w, 0) for w in named], np.int64)
     ids = known[ids] if len(ids) else ids
-    at, code = kgrams(ids, row, index.k, index.base)
+    at, code = (np.concatenate(x) for x in zip(*(kgrams(ids, row, k, index.base) for k in sorted(index.ks))))
     near = np.searchsorted(index.codes, code)
     hit = near < len(index.codes)
     hit[hit] = index.codes[near[hit]] == code[hit]
@@ -168,7 +203,10 @@ def find(index: Index, column: pa.Array, coverage: float = COVERAGE):
         last = (r, t, f)
         base = int(bounds[r])
         matched, start, stop = align(index.templates[t], ids[base : bounds[r + 1]], f - base, slack)
-        if matched >= coverage * len(index.templates[t]) and stop > start:
+        if matched < coverage * len(index.templates[t]) - 1e-9 or stop <= start:
+            continue
+        numbers, kinds = marks([named[w] for w in plain[base + start : base + stop].tolist()])
+        if index.marks[t][0] <= numbers and index.marks[t][1] == kinds:
             found.setdefault(r, []).append((matched, t, base + start, base + stop))
     for r, matches in sorted(found.items()):
         kept = []
@@ -187,9 +225,9 @@ def scan(
 
     Matches that overlap a longer one of their document are left out. Documents
     without a match, null and empty texts have no row; repeated rows repeat their
-    matches. Templates under three words cannot be found.
+    matches.
     """
-    index = Index(templates or TEMPLATES)
+    index = Index(templates or TEMPLATES, coverage=coverage)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):

@@ -250,6 +250,23 @@ def test_license_with_edits_and_within_longer_text():
     assert found == [(2, "MIT permission"), (3, "Apache-2.0 header")]
 
 
+def test_licenses_of_a_family_and_edited_short_notices():
+    gnu = "This work is licensed under the GNU {}General Public License, version {}"
+    cases = {
+        "Released under the MIT licence": "MIT", "Released under MIT License": "MIT", "Issued under the MIT License": "MIT",
+        "Licensed under CC BY 4.0": "CC-BY-4.0", "Licensed under CC BY-SA 4.0": "CC-BY-SA-4.0", "Licensed under CC BY-NC 3.0": "CC-BY-NC-3.0",
+        "Licensed under CC BY-NC-SA 4.0": "CC-BY-NC-SA-4.0", "Licensed under CC BY-NC 4.0": "CC-BY-NC-4.0", "Licenced under CC BY-NC 4.0": "CC-BY-NC-4.0",
+        gnu.format("", "2"): "GPL-2.0", gnu.format("", "3"): "GPL-3.0", gnu.format("Lesser ", "3"): "LGPL-3.0", gnu.format("Lesser ", "2.1"): "LGPL-2.1",
+        gnu.format("Affero ", "3"): "AGPL-3.0", gnu.format("", "9"): None, "Licensed under the Apache License, Version 9.9": None,
+        license_scan.TEMPLATES["GPL-3.0 header"].replace("version 3", "version 2"): "GPL-2.0 header",
+    }
+    index = license_scan.Index(license_scan.TEMPLATES)
+    found = {}
+    for r, t, *_ in license_scan.find(index, pa.array([f"some words, {x}. And more" for x in cases], pa.string())):
+        found.setdefault(r, []).append(index.names[t])
+    assert found == {r: [name] for r, name in enumerate(cases.values()) if name}
+
+
 def test_license_on_odd_rows(spark):
     assert license_scan.scan(odd_frame(spark)).count() == 0
     twice = odd_frame(spark).limit(2).withColumn("text", F.lit("Released under the MIT License."))
