@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, SPACE, mixed, raw, running, slices, table
+from .shared import LOWER, SPACE, free_name, mixed, raw, running, slices, table
 
 Q = 8
 # Edits allowed for each character of an item.
@@ -264,10 +264,11 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
     Hits go by id and text, so rows that share an id are judged by their own text,
     and rows without an id too.
     """
-    keyed = docs.select(F.struct(F.col(id_col), F.xxhash64(text_col).alias("th")).alias("_key"), F.col(text_col).alias("text"))
-    hits = contaminated(keyed, benchmark, "_key", "text", **options).select("_key").distinct()
+    keyed = docs.select(F.struct(F.col(id_col), F.xxhash64(text_col).alias("th")).alias("key"), F.col(text_col).alias("text"))
+    name = free_name(docs, "key")
+    hits = contaminated(keyed, benchmark, "key", "text", **options).select(F.col("key").alias(name)).distinct()
     key = F.struct(F.col(id_col), F.xxhash64(text_col).alias("th"))
-    return docs.join(hits, key.eqNullSafe(F.col("_key")), "left_anti")
+    return docs.join(hits, key.eqNullSafe(F.col(name)), "left_anti")
 
 
 def op5_decontaminate(spark, sf_dir):

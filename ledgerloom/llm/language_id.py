@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import LOWER, fold, mixed, raw, slices, table
+from .shared import LOWER, fold, free_name, mixed, raw, slices, table
 
 SIZES = (3, 4, 5)
 SLOTS = 1 << 20
@@ -219,8 +219,9 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rejected are texts that are null or without a letter, and texts that share no
     n-gram with any language. The filters are learned from the same rows.
     """
-    found = identify(docs, learn(docs, id_col, text_col, lang_col), text_col, names=("_lang_pred", "_lang_score"))
-    return found.where((F.col("_lang_pred") != "und") & (F.col("_lang_score") > 0)).select(docs.columns)
+    pred, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
+    found = identify(docs, learn(docs, id_col, text_col, lang_col), text_col, names=(pred, score))
+    return found.where((F.col(pred) != "und") & (F.col(score) > 0)).select(docs.columns)
 
 
 def op9_language_id(spark, sf_dir):

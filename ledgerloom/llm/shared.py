@@ -27,6 +27,14 @@ def written(df: DataFrame, purpose: str, compression: str = "snappy") -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as empty text, fold 0."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import free_name, table, written
 
 WORDS = 3
 BITS = 3
@@ -253,9 +253,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     without an id comes before all others, and texts without words are one group.
     """
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"))
-    found = near_duplicates(docs.select(key.alias("_key"), F.col(text_col).alias("_text")), "_key", "_text", words, bits)
-    first = found.where(F.col("_key") == F.col("component_id")).select("_key")
-    return docs.withColumn("_key", key).join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    name = free_name(docs, "key")
+    found = near_duplicates(docs.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text", words, bits)
+    first = found.where(F.col("key") == F.col("component_id")).select(F.col("key").alias(name))
+    return docs.withColumn(name, key).join(first, name, "left_semi").dropDuplicates([name]).select(docs.columns)
 
 
 def op3_simhash_dedup(spark, sf_dir):

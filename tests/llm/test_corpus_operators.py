@@ -1,5 +1,6 @@
 """Operators over whole corpora against brute force, on odd rows, and the pipeline."""
 
+import os
 import random
 import re
 
@@ -9,10 +10,11 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from check import differences
-from ledgerloom.llm import decontaminate, line_dedup, load, shingle_dedup, simhash_dedup
+from ledgerloom.llm import decontaminate, language_id, line_dedup, load, shingle_dedup, simhash_dedup
 
 from .cases import ODD_TEXTS, empty_frame, lower, odd_frame, rows, words
 
@@ -166,6 +168,54 @@ def test_members_that_no_leader_links_are_found(spark, monkeypatch):
     assert {r["doc_id"] for r in shingle_dedup.drop_near_copies(frame).collect()} == {2 * k for k in range(60)}
 
 
+@pytest.mark.parametrize("edits", [1, 4])
+def test_a_group_of_near_copies_costs_what_its_size_says(spark, monkeypatch, tmp_path, edits):
+    """Sets compared exactly for 200, 400 and 800 copies with edits: one keeps them above the bound, four below it."""
+    plain = shingle_dedup.similar
+    compared = []
+    for size in (200, 400, 800):
+        log = str(tmp_path / str(size))
+
+        def counted(a, b, similarity=0.8):
+            with open(log, "ab") as out:
+                out.write(b".")
+            return plain(a, b, similarity)
+
+        monkeypatch.setattr(shingle_dedup, "similar", counted)
+        draw = random.Random(size)
+        docs = []
+        for i in range(size):
+            w = [f"w{k}" for k in range(100)]
+            for at in draw.sample(range(100), edits):
+                w[at] = f"x{i}y{at}"
+            docs.append((i, " ".join(w)))
+        kept = shingle_dedup.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string")).count()
+        sets = [runs_by_hand(t) for _, t in docs]
+        if edits == 1:
+            assert kept == 1
+        elif not any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i in range(size) for j in range(i)):
+            assert kept == size
+        compared.append(os.path.getsize(log))
+    assert compared[1] <= 2.5 * compared[0] and compared[2] <= 2.5 * compared[1] and compared[2] <= 8 * 800, compared
+
+
+CLASHES_WITH_STAGES = ["_key", "_text", "key", "th", "_lang_pred", "lang_pred", "_LANG_PRED", "lang_score"]
+
+
+def test_stages_leave_columns_with_their_inner_names_alone(spark, sf):
+    frame = odd_frame(spark)
+    for name in CLASHES_WITH_STAGES:
+        if name.lower() not in {c.lower() for c in frame.columns}:
+            frame = frame.withColumn(name, F.lit("clash"))
+    benchmark = spark.read.parquet(f"{sf}/benchmark.parquet")
+    for out in (
+        shingle_dedup.drop_near_copies(frame), simhash_dedup.drop_near_duplicates(frame),
+        decontaminate.remove_contaminated(frame, benchmark), language_id.keep_identified(frame),
+    ):
+        assert out.columns == frame.columns
+        assert {r["_key"] for r in out.collect()} <= {"clash"}
+
+
 @pytest.fixture(scope="module")
 def items():
     return duckdb.sql("SELECT item_id, text FROM '/root/testdata/sf0.01/benchmark.parquet' ORDER BY 1").fetchall()
