@@ -10,13 +10,13 @@ blend of such fills is the optimum; each round is one aggregation of the pool.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import lineage_cut
+from .simplex import simplex
 from .sizes import attach_one_row, broadcast_if_small, fixed_table
 
 
@@ -144,28 +144,21 @@ def _blend(fills: list[Fill], bounds: np.ndarray, feasible: bool):
     """The best blend of fills: (value, shares, price of one unit of weight, prices of the limits).
 
     With ``feasible`` the value is the cost of a blend inside the limits, else how
-    far a blend is outside of them. A corner of the few-column program is found by
-    looking at all of them: inside the limits, and no column is better at its prices.
+    far a blend is outside of them.
     """
     k = len(bounds)
     runs = np.array([[1.0, *f.means] for f in fills]).T
     slack = np.vstack([np.zeros(k), np.eye(k)])
-    columns = np.hstack([runs, slack] if feasible else [runs, slack, -slack])
-    values = np.concatenate([[f.cost if feasible else 0.0 for f in fills], np.zeros(k), [] if feasible else np.ones(k)])
-    right = np.concatenate([[1.0], bounds])
-    corners = np.array(list(combinations(range(columns.shape[1]), k + 1)))
-    matrices = columns[:, corners].transpose(1, 0, 2)
-    sound = np.abs(np.linalg.det(matrices)) > 1e-13
-    corners, matrices = corners[sound], matrices[sound]
-    shares = np.linalg.solve(matrices, np.broadcast_to(right[:, None], (len(corners), k + 1, 1)))[..., 0]
-    prices = np.linalg.solve(matrices.transpose(0, 2, 1), values[corners][..., None])[..., 0]
-    kept = (shares >= -1e-9).all(axis=1)
-    worst = (values - prices @ columns).min(axis=1)
-    order = np.where(kept, np.maximum(-worst, 0), np.inf)
-    at = int(order.argmin())
-    share = np.zeros(columns.shape[1])
-    share[corners[at]] = np.maximum(shares[at], 0)
-    return float(share @ values), share[: len(fills)], prices[at, 0], np.maximum(-prices[at, 1:], 0), share[len(fills) :]
+    costs = np.array([f.cost if feasible else 0.0 for f in fills])
+    # Beyond a limit: counted as such, or too dear to stay.
+    beyond = 1e6 * (1.0 + np.abs(costs).max()) if feasible else 1.0
+    values = np.concatenate([costs, np.zeros(k), np.full(k, beyond)])
+    over = fills[0].means > bounds
+    start = [0, *(len(fills) + j + k * int(over[j]) for j in range(k))]
+    basis, x, y = simplex(np.hstack([runs, slack, -slack]), np.concatenate([[1.0], bounds]), values, start)
+    share = np.zeros(len(values))
+    share[basis] = np.maximum(x, 0)
+    return float(share @ values), share[: len(fills)], y[0], np.maximum(-y[1:], 0)
 
 
 def _generate(priced: DataFrame, cap: float, bounds: np.ndarray, tolerance: float, most_rounds: int):
@@ -176,7 +169,7 @@ def _generate(priced: DataFrame, cap: float, bounds: np.ndarray, tolerance: floa
         return "infeasible", [], None
     feasible = False
     for _ in range(most_rounds):
-        value, shares, unit, prices, rest = _blend(fills, bounds, feasible)
+        value, shares, unit, prices = _blend(fills, bounds, feasible)
         if not feasible and value <= tolerance:
             feasible = True
             continue
@@ -187,9 +180,6 @@ def _generate(priced: DataFrame, cap: float, bounds: np.ndarray, tolerance: floa
                 return "infeasible", [], None
             gap = value - (reached - float(prices @ bounds))
             return "optimal", [(s, f) for s, f in zip(shares, fills) if s > 0], max(gap, 0.0)
-        # Corners are few when the table is: fills of no share go before a new one comes.
-        if len(fills) > 2 * k + 6:
-            fills = [f for f, s in zip(fills, shares) if s > 0]
         fills.append(new)
     raise ArithmeticError(f"no optimum after {most_rounds} rounds")
 
