@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar
 from ..functions.numeric import mean_skipping_null, right_closed_bin
 from ..functions.rolling import Rolling
+from .scans import with_runs
 from .series import Series, latest_rows, over_history
 from .sizes import attach_one_row, fixed_table
 
@@ -60,13 +61,9 @@ def level_features(df: DataFrame, series: Series, windows=(5, 10, 20, 60, 120),
 def run_length(df: DataFrame, series: Series, flag: str, name: str) -> DataFrame:
     """Rows since the flag was last switched on, 0 in its first row and while off.
 
-    For day tables: the running count needs a key's whole history in one task.
+    Histories of any length: see ``scans``.
     """
-    w = series.window()
-    changed = (F.col(flag) != F.lag(flag).over(w)).cast("int")
-    started = df.withColumn("__run", F.sum(F.coalesce(changed, F.lit(1))).over(w))
-    inside = Window.partitionBy(*series.keys, "__run").orderBy(*series.ordering())
-    return started.withColumn(name, (F.row_number().over(inside) - 1) * F.col(flag)).drop("__run")
+    return with_runs(df, series, flag).withColumn(name, (F.col("__place") - 1) * F.col(flag)).drop("__run", "__place")
 
 
 def curve_shape(df: DataFrame, series: Series) -> DataFrame:
@@ -257,13 +254,12 @@ def transition_matrix(df: DataFrame, series: Series, label: str) -> DataFrame:
 def segments(df: DataFrame, series: Series, label: str) -> DataFrame:
     """Runs of an unchanged label with first day, last day and length.
 
-    For day tables: the running count needs a key's whole history in one task.
+    Histories of any length: see ``scans``. A missing label is a run of its own.
     """
-    w = series.window()
-    changed = F.coalesce((F.col(label) != F.lag(label).over(w)).cast("int"), F.lit(1))
     date = series.order[0]
     return (
-        df.withColumn("segment", F.sum(changed).over(w))
+        with_runs(df, series, label)
+        .withColumnRenamed("__run", "segment")
         .groupBy(*series.keys, "segment", label)
         .agg(F.min(date).alias("start_date"), F.max(date).alias("end_date"), F.count(F.lit(1)).alias("n"))
     )

@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import clip
 from ..functions.random import uniform
+from ..session import lineage_cut
+from .macro import transition_matrix
 from .quantiles import exact_quantiles
-from .series import Series, over_history
+from .scans import moves_between, state_probabilities
+from .series import Series
 from .sizes import attach_one_row
 
 SEED = 42
@@ -217,22 +220,29 @@ def kmeans_regimes(df: DataFrame, features: list[str], by: str, k: int = 5, comp
     return ordered_labels(clusters.drop("pcs"), "regime_id", by)
 
 
-def mixture_regimes(
-    df: DataFrame, features: list[str], series: Series, by: str, k: int = 3, components: int = 3, smooth: int = 5
-) -> DataFrame:
-    """Mixture probabilities averaged over the last rows; the likeliest is the regime."""
+def mixture_regimes(df: DataFrame, features: list[str], series: Series, by: str, k: int = 5, components: int = 5) -> DataFrame:
+    """Mixture states given each whole history: ``regime_id``, the likeliest, and ``regime_prob_<i>``.
+
+    Rows give likelihoods, the moves between the likeliest states of single rows give
+    the chances of a change, and both passes over the history their probabilities.
+    States are numbered by the mean of ``by``; one that is nowhere likeliest comes last.
+    """
     _, projected = reduced(df, features, components)
     mixture = GaussianMixture(k=k, featuresCol="pcs", predictionCol="__raw", probabilityCol="__p", seed=SEED, maxIter=30)
-    scored = mixture.fit(projected).transform(projected).withColumn("p", vector_to_array("__p")).drop("pcs", "__p", "__raw")
-    names = [f"regime_prob_{i}" for i in range(k)]
-
-    def compute(d, w):
-        recent = w.rowsBetween(-(smooth - 1), 0)
-        return d.select("*", *[F.avg(F.col("p")[i]).over(recent).alias(n) for i, n in enumerate(names)])
-
-    smoothed = over_history(scored, series, compute, depth=smooth - 1).drop("p")
-    likeliest = F.array_position(F.array(*names), F.greatest(*names)) - 1
-    return ordered_labels(smoothed.withColumn("regime_id", likeliest.cast("int")), "regime_id", by)
+    fitted = mixture.fit(projected)
+    own = vector_to_array("__p")
+    likely = F.array(*(own[i] / max(w, 1e-12) for i, w in enumerate(fitted.weights)))
+    scored = lineage_cut(fitted.transform(projected).withColumn("__b", likely).drop("pcs", "__p"), "mixture")
+    moves = moves_between(transition_matrix(scored, series, "__raw"), k)
+    smoothed = lineage_cut(state_probabilities(scored, series, "__b", moves, np.array(fitted.weights), "__s").drop("__b", "__raw"), "states")
+    smoothed = smoothed.withColumn("__state", F.array_position("__s", F.array_max("__s")).cast("int") - 1)
+    # One row for each state.
+    means = {r["__state"]: r["m"] for r in smoothed.groupBy("__state").agg(F.avg(by).alias("m")).collect() if r["m"] is not None}
+    order = sorted(range(k), key=lambda i: (i not in means, means.get(i, 0.0), i))
+    number = F.array(*(F.lit(order.index(i)) for i in range(k)))
+    return smoothed.select(
+        *df.columns, number[F.col("__state")].alias("regime_id"), *(F.col("__s")[i].alias(f"regime_prob_{r}") for r, i in enumerate(order))
+    )
 
 
 def feature_importance(models: list[PipelineModel], features: list[str], spark) -> DataFrame:

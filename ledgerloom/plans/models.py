@@ -163,7 +163,7 @@ def regime_kmeans(spark, sf):
 @query("regime_gmm")
 def regime_gmm(spark, sf):
     out = models.mixture_regimes(_macro(spark, sf), MACRO_INPUTS, MACRO_DAYS, "vix")
-    return out.select("date", "regime_id", *[f"regime_prob_{i}" for i in range(3)])
+    return out.select("date", "regime_id", *[f"regime_prob_{i}" for i in range(5)])
 
 
 @query("demand_signal")
