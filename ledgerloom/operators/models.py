@@ -21,7 +21,6 @@ from ..functions.numeric import clip
 from ..functions.random import uniform
 from ..session import lineage_cut
 from .macro import transition_matrix
-from .quantiles import exact_quantiles
 from .scans import moves_between, state_probabilities
 from .series import Series
 from .sizes import attach_one_row
@@ -128,19 +127,6 @@ def forecast(models: dict, df: DataFrame) -> DataFrame:
     return df
 
 
-def quantile_forecast(
-    df: DataFrame, features: list[str], label: str, key: list[str], alpha: float, name: str, floor: float | None = None,
-    rounds: int = 10, depth: int = 4,
-) -> DataFrame:
-    """Mean forecast moved by the alpha quantile of the residuals on a held-out fifth."""
-    split = df.dropna(subset=features).withColumn("__held", uniform(SEED, *[F.col(k) for k in key]) < 0.2)
-    model = fit_regression(split.where(~F.col("__held")), features, label, rounds, depth)
-    left_out = predict(model, split.where(F.col("__held") & F.col(label).isNotNull()), "__mean")
-    shift = exact_quantiles(left_out.withColumn("__r", F.col(label) - F.col("__mean")), "__r", {"__shift": alpha})
-    scored = attach_one_row(predict(model, split.drop("__held"), "__mean"), shift)
-    return scored.withColumn(name, clip(F.col("__mean") + F.col("__shift"), low=floor)).drop("__mean", "__shift")
-
-
 def bootstrap_band(df: DataFrame, lags: list[str], label: str, key: str, latest: DataFrame, passes: int = 100) -> DataFrame:
     """Mean and 5/95 percentile of linear forecasts refitted on resampled rows.
 

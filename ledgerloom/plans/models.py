@@ -125,19 +125,6 @@ def feature_importance(spark, sf):
     return models.feature_importance(list(fitted.values()), REPO_INPUTS, spark)
 
 
-LOANS = Series(("ticker",), ("date", "order_id", "line_no", "counterparty_id"), "day")
-
-
-@query("quantile_forecast")
-def quantile_forecast(spark, sf):
-    """The 0.6 quantile of the next borrow volume per loan, never below zero."""
-    book = demand.demand_features(views.loans(spark, sf), LOANS, windows=(5,))
-    book = financing.horizon_targets(book, LOANS, "borrow_volume", horizons=(1,))
-    inputs = ["borrow_volume", "vol_rolling_mean_5d", "vol_rolling_std_5d", "vol_mom_1d", "borrow_rate"]
-    out = models.quantile_forecast(book, inputs, "target_1d", PANEL_KEY, 0.6, "demand_forecast", floor=0.0, rounds=5)
-    return out.select(*PANEL_KEY, "target_1d", "demand_forecast")
-
-
 @query("forecast_band")
 def forecast_band(spark, sf):
     days = views.macro(spark, sf).select("date", "vix")
