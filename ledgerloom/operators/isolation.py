@@ -90,11 +90,15 @@ def fit(df: DataFrame, key: str, features: list[str], trees: int = 200, sample:
 
 
 def score(df: DataFrame, forest: pd.DataFrame, features: list[str], sample: int = 256, name: str = "anomaly_raw") -> DataFrame:
-    """Isolation score 2^(-mean path / expected path); higher is more anomalous."""
+    """Isolation score 2^(-mean path / expected path); higher is more anomalous.
+
+    The expected path is that of a tree's own rows where the table has fewer than ``sample``.
+    """
     shared = df.sparkSession.sparkContext.broadcast(
         [t.sort_values("node")[["feature", "cut", "left", "right", "size"]].to_numpy() for _, t in forest.groupby("tree")]
     )
-    expected = float(path_correction(sample))
+    grown = int(forest.loc[forest["node"] == 0, "size"].max()) if len(forest) else sample
+    expected = float(path_correction(max(2, min(sample, grown))))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

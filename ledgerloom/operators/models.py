@@ -6,20 +6,20 @@ from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip
-from ..functions.random import uniform
 from ..session import lineage_cut
+from . import isotonic
 from .macro import transition_matrix
 from .scans import moves_between, state_probabilities
 from .series import Series
@@ -85,11 +85,11 @@ def class_probability(model: PipelineModel, df: DataFrame, name: str) -> DataFra
 
 
 def calibrated_probability(
-    df: DataFrame, features: list[str], label: str, key: list[str], name: str, folds: int = 3, rounds: int = 10, depth: int = 3, digits: int = 4
+    df: DataFrame, features: list[str], label: str, key: list[str], name: str, folds: int = 3, rounds: int = 10, depth: int = 3
 ) -> DataFrame:
     """Boosted classifier per fold, calibrated on the rows left out, averaged over folds.
 
-    Calibration sees scores rounded to ``digits``, at most 10^digits + 1 weighted points.
+    Calibration is isotonic on all distinct scores; see ``isotonic``.
     """
     labelled = df.dropna(subset=[label, *features]).withColumn("__fold", F.pmod(F.xxhash64(*key), F.lit(folds)))
     scored, names = df.dropna(subset=features), []
@@ -98,12 +98,8 @@ def calibrated_probability(
             tree = GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, seed=SEED + k)
             model = Pipeline(stages=[assembler(features), tree]).fit(train.where(F.col("__fold") != k))
             left_out = class_probability(model, train.where(F.col("__fold") == k), "raw")
-            points = left_out.groupBy(F.round("raw", digits).alias("raw")).agg(
-                F.avg(F.col(label).cast("double")).alias("share"), F.count(F.lit(1)).cast("double").alias("weight")
-            )
-            fitted = IsotonicRegression(featuresCol="raw", labelCol="share", weightCol="weight").fit(points)
-            scored = class_probability(model, scored, "raw")
-            scored = fitted.transform(scored).withColumnRenamed("prediction", f"__p{k}").drop("raw")
+            blocks = isotonic.fit(left_out, "raw", label)
+            scored = isotonic.apply(class_probability(model, scored, "raw"), "raw", blocks, f"__p{k}").drop("raw")
             names.append(f"__p{k}")
     mean = reduce(lambda a, b: a + b, [F.col(n) for n in names]) / len(names)
     return scored.withColumn(name, clip(mean, 0.0, 1.0)).drop(*names)
@@ -121,50 +117,82 @@ def multi_horizon(df: DataFrame, features: list[str], targets: dict[int, str], l
 
 
 def forecast(models: dict, df: DataFrame) -> DataFrame:
-    """A column ``forecast_<h>d_bps`` per fitted horizon."""
+    """A column ``forecast_<h>d_bps`` per fitted horizon.
+
+    Rows are written between models: in one plan, what the optimizer infers about
+    the inputs of several models grows with every combination of them.
+    """
     for h, model in models.items():
-        df = predict(model, df, f"forecast_{h}d_bps")
+        df = lineage_cut(predict(model, lineage_cut(df, "inputs"), f"forecast_{h}d_bps"), "forecast")
     return df
 
 
+# Chances that a row counts at most 0, 1, 2, ... times in a resample of its table: a Poisson count with mean 1.
+_COUNTS = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 16)]))
+
+
+def resample_weights(hashes: np.ndarray, passes: int) -> np.ndarray:
+    """How often each row counts in each refit (rows x passes); decided by the row's hash, so the same however rows are dealt."""
+    x = hashes.astype(np.uint64)[:, None] + (np.arange(passes, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    return np.searchsorted(_COUNTS, u, side="right").astype(np.float64)
+
+
+def refits(df: DataFrame, lags: list[str], label: str, key: str, passes: int = 100) -> np.ndarray:
+    """Coefficients (passes x inputs, the constant first) of linear fits on resampled rows.
+
+    A task adds up, batch by batch, the weighted products of all refits as one
+    matrix product; what it hands on is a row of sums for each refit, whatever the
+    number of rows.
+    """
+    names = [*lags, label]
+    width = len(names) + 1
+    left, right = np.tril_indices(width)
+    data = df.dropna(subset=names).select(F.xxhash64(F.lit(SEED), key).alias("h"), *(F.col(c).cast("double") for c in names))
+
+    def sums(batches):
+        total = np.zeros((passes, len(left)))
+        for batch in batches:
+            h = np.asarray(batch.column("h")).view(np.uint64)
+            x = np.column_stack([np.ones(batch.num_rows), *(np.asarray(batch.column(c)) for c in names)])
+            for at in range(0, len(h), 4096):
+                part = x[at : at + 4096]
+                total += resample_weights(h[at : at + 4096], passes).T @ (part[:, left] * part[:, right])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(passes, dtype=np.int32)), *map(pa.array, total.T.copy())], ["b", *columns])
+
+    columns = [f"s{i}" for i in range(len(left))]
+    partial = data.mapInArrow(sums, "b int, " + ", ".join(f"{c} double" for c in columns))
+    # One row for each refit.
+    rows = partial.groupBy("b").agg(*(F.sum(c).alias(c) for c in columns)).orderBy("b").collect()
+    out = np.zeros((len(rows), width - 1))
+    for i, row in enumerate(rows):
+        full = np.zeros((width, width))
+        full[left, right] = full[right, left] = [row[c] for c in columns]
+        out[i] = np.linalg.lstsq(full[:-1, :-1], full[:-1, -1], rcond=None)[0]
+    return out
+
+
 def bootstrap_band(df: DataFrame, lags: list[str], label: str, key: str, latest: DataFrame, passes: int = 100) -> DataFrame:
     """Mean and 5/95 percentile of linear forecasts refitted on resampled rows.
 
-    All refits come from one pass: every row carries a Poisson weight per
-    refit, and the sums a least-squares fit needs combine before the shuffle.
+    The refits are a matrix of coefficients, applied to a batch of rows as one product.
     """
-    names = ["one", *lags]
-    data = df.dropna(subset=[*lags, label]).withColumn("one", F.lit(1.0))
-    u = uniform(SEED, F.col(key), F.col("b"))
-    steps = np.cumsum([np.exp(-1.0) / float(np.prod(range(1, k + 1)) if k else 1) for k in range(8)])
-    weight = reduce(lambda acc, s: acc + (u > F.lit(float(s))).cast("double"), steps, F.lit(0.0))
-    resampled = data.select("*", F.explode(F.sequence(F.lit(1), F.lit(passes))).alias("b")).withColumn("w", weight)
-    sums = [F.sum(F.col("w") * F.col(a) * F.col(b)).alias(f"{a}*{b}") for i, a in enumerate(names) for b in names[: i + 1]]
-    sums += [F.sum(F.col("w") * F.col(a) * F.col(label)).alias(f"{a}*y") for a in names]
-    moments = resampled.where("w > 0").groupBy("b").agg(*sums)
-
-    def solve(batches):
-        for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                k = len(names)
-                xx = np.zeros((k, k))
-                for i, a in enumerate(names):
-                    for j, b in enumerate(names[: i + 1]):
-                        xx[i, j] = xx[j, i] = row[f"{a}*{b}"]
-                xy = np.array([row[f"{a}*y"] for a in names])
-                out.append((row["b"], *np.linalg.lstsq(xx, xy, rcond=None)[0]))
-            yield pd.DataFrame(out, columns=["b", *[f"c_{n}" for n in names]])
-
-    fits = moments.mapInPandas(solve, "b int, " + ", ".join(f"`c_{n}` double" for n in names))
-    # One row of coefficients per refit.
-    each = latest.dropna(subset=lags).crossJoin(F.broadcast(fits))
-    value = reduce(lambda acc, c: acc + F.col(f"c_{c}") * F.col(c), lags, F.col("c_one"))
-    return each.withColumn("__value", value).groupBy(*latest.columns).agg(
-        F.avg("__value").alias("forecast"),
-        F.percentile("__value", F.lit(0.05)).alias("lower"),
-        F.percentile("__value", F.lit(0.95)).alias("upper"),
-    )
+    fitted = refits(df, lags, label, key, passes)
+    rows, shown = latest.dropna(subset=lags), latest.columns
+
+    def band(batches):
+        for batch in batches:
+            x = np.column_stack([np.ones(batch.num_rows), *(np.asarray(batch.column(f"__{c}")) for c in lags)])
+            values = x @ fitted.T if len(fitted) else np.full((len(x), 1), np.nan)
+            low, high = np.percentile(values, [5, 95], axis=1)
+            kept = batch.select(shown)
+            added = [pa.array(v, from_pandas=True) for v in (values.mean(axis=1), low, high)]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *added], [*shown, "forecast", "lower", "upper"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in latest.schema.fields) + ", forecast double, lower double, upper double"
+    return rows.select("*", *(F.col(c).cast("double").alias(f"__{c}") for c in lags)).mapInArrow(band, schema)
 
 
 def reconstruction_error(df: DataFrame, sequence: str, components: int = 3, name: str = "reconstruction_error") -> DataFrame:

@@ -15,6 +15,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import lineage_cut
 from .sizes import is_small_input
 
 # Rank error of an approximate quantile is at most rows/ACCURACY, well under a step.
@@ -34,7 +35,8 @@ def exact_quantiles(
         narrow = not is_small_input(values) and values.count() > DIRECT_ROWS
     if not narrow:
         return values.agg(*[F.percentile("v", F.lit(q)).alias(name) for name, q in wanted.items()])
-    found = _narrowed(values, list(wanted.values()))
+    # Several passes look at the values: what derives them runs once.
+    found = _narrowed(lineage_cut(values, "values"), list(wanted.values()))
     return df.sparkSession.range(1).select(
         *[F.lit(x).cast("double").alias(name) for name, x in zip(wanted, found)]
     )

@@ -3,10 +3,11 @@
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ..operators import anomaly, collateral, demand, exposure, financing, isolation, macro, models, squeeze
+from ..functions.numeric import numeric_columns
+from ..operators import anomaly, collateral, exposure, financing, isolation, macro, models, squeeze
 from ..operators.quantiles import exact_quantiles
 from ..operators.sequences import pad_first_score, sliding_sequences
-from ..operators.series import chained, latest_row, over_history
+from ..operators.series import latest_row, over_history
 from ..operators.sizes import attach_one_row
 from ..session import lineage_cut, shared_dir
 from ..sources import views
@@ -14,15 +15,13 @@ from ..sources.views import MACRO_DAYS, PANEL_SERIES, RATE_SERIES, REPO_SERIES,
 from . import portfolio
 from .registry import query
 
-IF_FEATURES = ["rate", "rate_zscore_5", "rate_zscore_10", "rate_zscore_20", "rate_change_1d", "rate_mom_zscore"]
-
 
 @query("isolation_score")
 def isolation_score(spark, sf):
-    steps = chained(anomaly.rolling_zscore_step(), anomaly.rate_momentum_step())
-    rows = over_history(views.rates(spark, sf), RATE_SERIES, *steps).select("event_id", "ticker", *IF_FEATURES)
-    forest = isolation.fit(rows, "event_id", IF_FEATURES)
-    scored = isolation.score(rows, forest, IF_FEATURES)
+    rows = anomaly.build_features(views.rates(spark, sf), RATE_SERIES).select("event_id", "ticker", *anomaly.FEATURES)
+    rows = lineage_cut(rows, "rate-features")
+    forest = isolation.fit(rows, "event_id", anomaly.FEATURES)
+    scored = isolation.score(rows, forest, anomaly.FEATURES)
     raw = scored.withColumn("raw", -F.col("anomaly_raw"))
     out = anomaly.normalise_score(raw, anomaly.training_range(raw, "raw"), "raw", "if_score")
     cut = exact_quantiles(out, "if_score", {"cut": 0.95})
@@ -79,41 +78,41 @@ def row_attribution(spark, sf):
     return models.row_attribution(model, table, RISK_INPUTS, vector_to_array("probability")[1], ["portfolio_id", "date"])
 
 
+# Every round is a few Spark jobs one after another; the README has what a round takes.
+SQUEEZE_ROUNDS, REPO_ROUNDS = 20, 20
 PANEL_KEY = ["ticker", "order_id", "line_no", "counterparty_id"]
-SQUEEZE_INPUTS = ["short_interest_ratio", "days_to_cover", "utilization_rate", "volume_ratio_10", "rsi_14"]
 
 
 @query("calibrated_probability")
 def calibrated_probability(spark, sf):
     """Chance that the next price is at least a tenth higher."""
-    steps = chained(squeeze.days_to_cover_step(), squeeze.volume_ratio_step(), squeeze.rsi_step(PANEL_SERIES))
-    panel = over_history(views.panel(spark, sf), PANEL_SERIES, *steps)
+    panel = squeeze.build_features(views.panel(spark, sf), PANEL_SERIES)
     panel = over_history(
         panel, PANEL_SERIES, lambda d, w: d.withColumn("next_close", F.lag("close").over(w)), depth=1, descending=True
     )
     labelled = panel.withColumn("label", (F.col("next_close") >= F.col("close") * 1.1).cast("int"))
+    labelled = lineage_cut(labelled.select(*PANEL_KEY, *squeeze.SQUEEZE_FEATURES, "label"), "squeeze")
     scored = models.calibrated_probability(
-        labelled, SQUEEZE_INPUTS, "label", PANEL_KEY, "squeeze_probability", folds=3, rounds=5
+        labelled, squeeze.SQUEEZE_FEATURES, "label", PANEL_KEY, "squeeze_probability", folds=3, rounds=SQUEEZE_ROUNDS
     )
     return scored.select(*PANEL_KEY, "squeeze_probability", squeeze.squeeze_tier(F.col("squeeze_probability")).alias("risk_tier"))
 
 
-REPO_INPUTS = ["rate_bps", "rate_bps_lag_1", "rate_bps_lag_3", "rate_bps_roll5_mean", "rate_bps_roll10_std", "rate_change_1d", "day_of_week"]
-
-
 def _repo_features(spark, sf):
     rows = financing.build_features(views.repo(spark, sf), REPO_SERIES)
     return financing.horizon_targets(rows, REPO_SERIES, "rate_bps")
 
 
 def _fitted(spark, sf):
-    rows = _repo_features(spark, sf)
-    return rows, models.multi_horizon(rows, REPO_INPUTS, {h: f"target_{h}d" for h in (1, 3, 5)}, rounds=5)
+    rows = lineage_cut(_repo_features(spark, sf), "repo")
+    targets = {h: f"target_{h}d" for h in (1, 3, 5)}
+    inputs = numeric_columns(rows, exclude=("event_id", *targets.values()))
+    return rows, inputs, models.multi_horizon(rows, inputs, targets, rounds=REPO_ROUNDS)
 
 
 @query("multi_horizon_forecast")
 def multi_horizon_forecast(spark, sf):
-    rows, fitted = _fitted(spark, sf)
+    rows, _, fitted = _fitted(spark, sf)
     latest = latest_row(rows, REPO_SERIES)
     out = models.forecast(fitted, latest)
     return out.select("instrument_type", F.col("rate_bps").alias("current_rate_bps"), *[f"forecast_{h}d_bps" for h in fitted])
@@ -121,8 +120,8 @@ def multi_horizon_forecast(spark, sf):
 
 @query("feature_importance")
 def feature_importance(spark, sf):
-    _, fitted = _fitted(spark, sf)
-    return models.feature_importance(list(fitted.values()), REPO_INPUTS, spark)
+    _, inputs, fitted = _fitted(spark, sf)
+    return models.feature_importance(list(fitted.values()), inputs, spark)
 
 
 @query("forecast_band")
