@@ -105,7 +105,8 @@ def _next_state(group: pd.DataFrame, keys: list[str], terms: Terms, tolerance: f
         best, bound = None, None
     # A step back towards the best prices so far keeps the next ones from swinging.
     q = prices if best is None else (prices + best) / 2
-    status = "optimal" if phase == 2 and bound is not None and value - bound <= tolerance else "open"
+    size = max(float(group["unit_cost"].abs().max()), 1e-300)
+    status = "optimal" if phase == 2 and bound is not None and value - bound <= tolerance * size else "open"
     used = np.flatnonzero(weights > 1e-12)
     shares = [{"item": str(group["item"].iloc[i]), "asset_class": str(group["asset_class"].iloc[i]), "weight": float(weights[i])} for i in used]
     state = {"status": status, "cost": value if phase == 2 else None, "bound": bound, "prices": None if best is None else list(best)}
@@ -131,7 +132,8 @@ def allocate_each(
     limits cannot be kept are ``infeasible`` and have no shares. A key still open
     after ``most_rounds`` is ``unfinished`` and has its best weights and its gap.
     Items that are not eligible, and items without a cost or without a value of a
-    limited column, take no part; equal costs go to the lower id.
+    limited column, take no part; equal costs go to the lower id. ``tolerance`` is a
+    share of the largest cost among the items a key was solved with.
     """
     terms = Terms.of(cap, limits)
     k = len(terms.names)

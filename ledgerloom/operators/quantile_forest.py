@@ -41,6 +41,8 @@ class QuantileForest:
 
     def raw(self, df: DataFrame) -> DataFrame:
         """Add ``<output>_q`` from the leaves alone; rows with a missing feature are left out."""
+        if self.forest is None:
+            return df.dropna(subset=list(self.features)).withColumns({f"{c}_q": F.lit(None).cast("double") for c in self.outputs})
         rows = attach_one_row(_fallen(self.forest, df), self.leaves)
         for c in self.outputs:
             found = F.zip_with("__leaf", f"__{c}", lambda leaf, of_tree: F.element_at(of_tree, leaf.cast("int") + 1))
@@ -75,9 +77,12 @@ def fit(
     """Fit on ``train``; ``calibrate`` (other rows) gives the shift of each ``group``, a column of few values.
 
     Rows with a missing feature take no part; of the others each output uses those
-    where it is known. ``least`` is the fewest rows of a leaf.
+    where it is known. ``least`` is the fewest rows of a leaf. Without any row to
+    learn from, forecasts are null.
     """
     clean = train.dropna(subset=features).dropna(subset=outputs, how="all")
+    if clean.isEmpty():
+        return QuantileForest(None, clean, tuple(outputs), tuple(features), group, None, floor)
     scale = clean.agg(*(F.avg(c).alias(f"__m_{c}") for c in outputs), *(F.stddev_samp(c).alias(f"__s_{c}") for c in outputs))
     parts = [(F.col(c) - F.col(f"__m_{c}")) / F.greatest(F.col(f"__s_{c}"), F.lit(1e-12)) for c in outputs]
     known = sum((F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in outputs), F.lit(0))

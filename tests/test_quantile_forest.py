@@ -72,3 +72,5 @@ def test_floor_missing_groups_and_no_calibration(rows, fitted):
     assert out.columns == [*rows.columns, "near_q", "far_q"]
     assert out.agg(F.min("far_q")).first()[0] == 0.0
     assert plain.predict(rows.where("false")).count() == 0
+    none = quantile_forest.fit(rows.where("false"), ["x", "wide"], ["near"], ALPHA, rows.where("fold = 3"), "wide")
+    assert none.predict(rows).where("near_q IS NOT NULL").count() == 0
