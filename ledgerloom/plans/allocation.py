@@ -69,8 +69,8 @@ _ONE = f"""WITH scored AS (SELECT portfolio_id, scenario_id, asset_class, 0.6 *
   FROM (SELECT portfolio_id, scenario_id, l, sum(w * r) + l * 0.85 AS d FROM filled GROUP BY portfolio_id, scenario_id, l) GROUP BY ALL"""
 
 
-@query("allocation_scenarios_floor", _ONE, "v_pool v_pos", "cost:10")
+@query("allocation_scenarios_floor", _ONE, "v_pool v_pos", "cost:12")
 def allocation_scenarios_floor(spark, sf):
     """The least cost of every portfolio under every scenario that keeps a rating floor."""
-    runs = allocation_batch.allocate_each(_pools(spark, sf), KEYS, 0.6 * F.col("cost_of_carry"), 0.30, {"rating_score": ("min", 0.85)})
+    runs = allocation_batch.allocate_each(_pools(spark, sf), KEYS, 0.6 * F.col("cost_of_carry"), 0.30, {"rating_score": ("min", 0.85)}, tolerance=1e-12)
     return runs.select(*KEYS, "status", "cost")
