@@ -1,8 +1,8 @@
-"""Allocations of every portfolio under every scenario, solved together."""
+"""Allocations of every portfolio under every scenario, solved together, and candidates over the whole pool."""
 
 from pyspark.sql import functions as F
 
-from ..operators import allocation_batch, collateral, stress
+from ..operators import allocation_batch, allocation_candidates, collateral, stress
 from ..operators import scenarios as sc
 from ..session import lineage_cut
 from ..sources import views
@@ -74,3 +74,61 @@ def allocation_scenarios_floor(spark, sf):
     """The least cost of every portfolio under every scenario that keeps a rating floor."""
     runs = allocation_batch.allocate_each(_pools(spark, sf), KEYS, 0.6 * F.col("cost_of_carry"), 0.30, {"rating_score": ("min", 0.85)}, tolerance=1e-12)
     return runs.select(*KEYS, "status", "cost")
+
+
+CANDIDATES = 600
+MOST_RECALL = 0.45
+SCORE_WEIGHTS = (0.5, 0.3, 0.2)
+_P = allocation_candidates.PRIME
+
+
+def _fifth(x, name, source):
+    """SQL: ``source`` with the fifth power of ``x`` modulo the prime as a further column."""
+    return (
+        f"SELECT * EXCLUDE (s2, s4, base), s4 * base % {_P} AS {name} FROM (SELECT *, s2 * s2 % {_P} AS s4 FROM "
+        f"(SELECT *, base * base % {_P} AS s2 FROM (SELECT *, ({x}) % {_P} AS base FROM ({source}))))"
+    )
+
+
+def _drawn(source):
+    """SQL: ``source`` (id, key) with the draw u."""
+    first = _fifth(f"id * 48271 % {_P} + key * 69621 % {_P} + 42", "m1", source)
+    return f"SELECT * EXCLUDE (m1, m2), (m2 + 1) / CAST({_P + 1} AS DOUBLE) AS u FROM ({_fifth('m1 + id', 'm2', first)})"
+
+
+_COLS = allocation_candidates.COLUMNS
+_ITEMS = """SELECT CAST(collateral_id AS BIGINT) AS key, haircut * financing_rate_bps / 10000 AS f1, -fee_rate AS f2, capital_charge_est AS f3,
+  recall_prob AS risk FROM v_pool WHERE eligible"""
+_Z = ", ".join(
+    f"CASE WHEN (SELECT stddev_pop({c}) FROM items) > 1e-12 THEN greatest(-8.0, least(8.0, ({c} - (SELECT avg({c}) FROM items)) / "
+    f"(SELECT stddev_pop({c}) FROM items))) ELSE 0 END AS {c}_z"
+    for c in _COLS
+)
+_MEANS = f"""WITH items AS ({_ITEMS}), scaled AS (SELECT *, {_Z} FROM items), ids AS (SELECT range AS id FROM range({CANDIDATES})),
+  lean AS (SELECT id, {", ".join(f"4.0 * max(u) FILTER (WHERE key = {_P + 1 + j}) AS {c}_t" for j, c in enumerate(_COLS))}
+    FROM ({_drawn(f"SELECT id, {_P + 1} + j AS key FROM ids, (SELECT range AS j FROM range({len(_COLS)}))")}) GROUP BY id),
+  weighed AS (SELECT d.*, u * exp(-({" + ".join(f"{c}_t * {c}_z" for c in _COLS)})) AS w
+    FROM ({_drawn("SELECT id, s.* FROM ids, scaled s")}) d JOIN lean USING (id)),
+  cands AS (SELECT id, {", ".join(f"round(sum(w * {c}) / sum(w), 12) AS {c}" for c in _COLS)} FROM weighed GROUP BY id)"""
+_FRONT = f"""{_MEANS}, inside AS (SELECT * FROM cands WHERE risk <= {MOST_RECALL}),
+  front AS (SELECT id, f1, f2, f3, {" + ".join(f"{w} * {c}" for w, c in zip(SCORE_WEIGHTS, _COLS))} AS score FROM inside p WHERE NOT EXISTS
+    (SELECT 1 FROM inside q WHERE q.f1 <= p.f1 AND q.f2 <= p.f2 AND q.f3 <= p.f3 AND (q.f1 < p.f1 OR q.f2 < p.f2 OR q.f3 < p.f3)))"""
+
+
+def _candidates(spark, sf):
+    pool = collateral.cost_of_carry(views.pool(spark, sf).where("eligible"))
+    columns = {"f1": F.col("cost_of_carry"), "f2": -F.col("fee_rate"), "f3": F.col("capital_charge_est"), "risk": F.col("recall_prob")}
+    return allocation_candidates.objectives_of(pool, columns, CANDIDATES, F.col("collateral_id"))
+
+
+@query("candidate_objectives", f"{_MEANS} SELECT * FROM cands", "v_pool", "f1:9 f2:9 f3:9 risk:9")
+def candidate_objectives(spark, sf):
+    """Cost, fee (negative), capital and recall risk of every candidate over the whole pool."""
+    return _candidates(spark, sf)
+
+
+@query("candidate_front", f"{_FRONT} SELECT *, id = (SELECT id FROM front ORDER BY score, id LIMIT 1) AS chosen FROM front", "v_pool", "f1:9 f2:9 f3:9 score:9")
+def candidate_front(spark, sf):
+    """The candidates within the recall limit that none dominates, and the one of least weighted score."""
+    landed = lineage_cut(_candidates(spark, sf), "candidates")
+    return allocation_candidates.chosen(lineage_cut(allocation_candidates.front_within(landed, MOST_RECALL), "front"), SCORE_WEIGHTS)
