@@ -6,11 +6,14 @@ all, and shorter ones too where not even a k-gram is sure to be left. Words of t
 has cannot match, so k-grams are formed from the ids of template words and are
 exact. Where a document meets the index, the template is aligned with the words
 around that place within a band, which gives the matched share and the span. The
-span has to hold the template's numbers and name the same kind of license.
+span has to hold the template's numbers and the words that name its license, and
+name the same kind of it; where no naming word is near, nothing is aligned.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,6 +72,16 @@ TEMPLATES |= {
 } | {
     "Apache-1.1": "Licensed under the Apache License, Version 1.1",
     "Apache-1.0": "Licensed under the Apache License, Version 1.0",
+    "BSD": "Released under the BSD License",
+    "BSD-2-Clause": "Released under the BSD 2-Clause License",
+    "BSD-3-Clause": "Released under the BSD 3-Clause License",
+    "BSD-2-Clause turned": "Released under the 2-Clause BSD License",
+    "BSD-3-Clause turned": "Released under the 3-Clause BSD License",
+    "ISC": "Released under the ISC License",
+    "MPL-1.1": "Licensed under the Mozilla Public License, Version 1.1",
+    "MPL-2.0": "Licensed under the Mozilla Public License, Version 2.0",
+    "EPL-1.0": "Licensed under the Eclipse Public License, Version 1.0",
+    "EPL-2.0": "Licensed under the Eclipse Public License, Version 2.0",
 }
 # The long header keeps its words, but for the kind and version.
 for _name, _kind, _version in [
@@ -77,14 +90,35 @@ for _name, _kind, _version in [
 ]:
     TEMPLATES[_name] = TEMPLATES["GPL-3.0"].replace("General", f"{_kind}General").replace("version 3", f"version {_version}")
     TEMPLATES[f"{_name} header"] = TEMPLATES["GPL-3.0 header"].replace("General", f"{_kind}General").replace("version 3", f"version {_version}")
+# Abbreviations, with the version beside or in the word, and machine-readable tags.
+for _family, _versions in {"GPL": ("1.0", "2.0", "3.0"), "LGPL": ("2.0", "2.1", "3.0"), "AGPL": ("3.0",)}.items():
+    for _version in _versions:
+        _short, _name = _version.removesuffix(".0"), f"{_family}-{_version}"
+        TEMPLATES[f"{_name} abbreviated"] = f"Licensed under the {_family} v{_short}"
+        TEMPLATES[f"{_name} by version"] = f"Licensed under the {_family} {_version}"
+        for _verb in ("Licensed", "Released") if "." not in _short else ():
+            TEMPLATES[f"{_name} in a word, {_verb.lower()}"] = f"{_verb} under the {_family}v{_short}"
+for _name in [n for n in TEMPLATES if " " not in n and n != "BSD"]:
+    TEMPLATES[f"{_name} tag"] = f"SPDX-License-Identifier: {_name}"
+# Words that name a license; a version may be written to the end of one.
+NAMES = {b"mit", b"apache", b"gnu", b"cc", b"mozilla", b"mpl", b"bsd", b"isc", b"eclipse", b"epl", b"gpl", b"lgpl", b"agpl"}
+VERSIONED = re.compile(rb"([a-z]*?)v?([0-9]+)")
 # What tells kinds of a family apart, after the words that it stands behind.
 KINDS = {b"cc": {b"nc", b"sa", b"nd"}, b"gnu": {b"lesser", b"library", b"affero"}}
 
 
-def marks(span: list[bytes]) -> tuple[set[bytes], set[bytes]]:
-    """Numbers, and words that name the kind of license, of a span of words."""
+def named_in(word: bytes) -> tuple[bytes, bytes]:
+    """The license name and the number that a word holds: gplv3 holds both, v3 and 3 a number; empty where it holds none."""
+    parts = VERSIONED.fullmatch(word)
+    name, number = parts.groups() if parts else (word, b"")
+    return (name, number) if name in NAMES else (b"", b"" if name else number)
+
+
+def marks(span: list[bytes]) -> tuple[set[bytes], set[bytes], set[bytes]]:
+    """Numbers, words that tell the kind of license, and names of licenses, of a span of words."""
     kinds = {w for i, w in enumerate(span) for family, named in KINDS.items() if w in named and family in span[max(0, i - 4 if family == b"cc" else i - 1) : i]}
-    return {w for w in span if w.isdigit()}, kinds
+    names, numbers = zip(*map(named_in, span)) if span else ((), ())
+    return set(numbers) - {b""}, kinds, set(names) - {b""}
 
 
 def words(column: pa.Array):
@@ -116,10 +150,12 @@ class Index:
         self.names = list(templates)
         _, _, row, ids, distinct, _ = words(pa.array(list(templates.values()), pa.string()))
         self.vocabulary = {w: i + 1 for i, w in enumerate(distinct.to_pylist())}
-        self.k, self.base = k, len(self.vocabulary) + 1
-        if self.base**k >= 2**62:
-            raise ValueError("the templates have too many different words for exact k-grams")
+        self.base = len(self.vocabulary) + 1
+        # Codes of k-grams are exact: very many different words make them shorter, which finds more candidates.
+        while self.base**k >= 2**62:
+            k -= 1
         self.templates = [ids[row == i] + 1 for i in range(len(self.names))]
+        self.slack = [max(2, int(SLACK * len(t))) for t in self.templates]
         named = distinct.to_pylist()
         self.marks = [marks([named[w - 1] for w in template]) for template in self.templates]
         entries, self.ks = [], set()
@@ -177,6 +213,23 @@ def align(template: np.ndarray, text: np.ndarray, first: int, slack: int) -> tup
     return int(matched[top]), int(start[top]), len(template) + low + top
 
 
+def near_its_name(index: Index, named: list[bytes], plain: np.ndarray, template: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which candidates have all naming words of their template among the words that an alignment can reach."""
+    names = sorted(NAMES)
+    code = np.array([names.index(n) if n else -1 for n, _ in map(named_in, named)] or [-1], np.int64)
+    code = code[plain] if len(plain) else plain
+    places = {name: np.flatnonzero(code == j) for j, name in enumerate(names)}
+    keep = np.ones(len(template), bool)
+    for t in np.unique(template).tolist():
+        mine = np.flatnonzero(template == t)
+        slack, size = index.slack[t], len(index.templates[t])
+        for name in index.marks[t][2]:
+            at = places[name]
+            low, high = first[mine] - slack, first[mine] + size + slack
+            keep[mine] &= np.searchsorted(at, low) < np.searchsorted(at, high)
+    return keep
+
+
 def find(index: Index, column: pa.Array, coverage: float = COVERAGE):
     """(row, template, matched words, start, stop) of every match in a slice; places are bytes of the text."""
     starts, ends, row, ids, distinct, offsets = words(column)
@@ -191,12 +244,14 @@ def find(index: Index, column: pa.Array, coverage: float = COVERAGE):
     n = index.starts[near + 1] - index.starts[near]
     entry = np.repeat(index.starts[near] - (np.cumsum(n) - n), n) + np.arange(n.sum())
     template, first, text = index.template[entry], np.repeat(at, n) - index.place[entry], np.repeat(row[at], n)
+    near = near_its_name(index, named, plain, template, first)
+    template, first, text = template[near], first[near], text[near]
     bounds = np.searchsorted(row, np.arange(len(offsets)))
     order = np.lexsort((first, template, text))
     found: dict[int, list] = {}
     last = None
     for r, t, f in zip(text[order].tolist(), template[order].tolist(), first[order].tolist()):
-        slack = max(2, int(SLACK * len(index.templates[t])))
+        slack = index.slack[t]
         # Hits whose template would begin at nearly the same word are one candidate.
         if last and last[:2] == (r, t) and f - last[2] <= slack // 2:
             continue
@@ -205,8 +260,8 @@ def find(index: Index, column: pa.Array, coverage: float = COVERAGE):
         matched, start, stop = align(index.templates[t], ids[base : bounds[r + 1]], f - base, slack)
         if matched < coverage * len(index.templates[t]) - 1e-9 or stop <= start:
             continue
-        numbers, kinds = marks([named[w] for w in plain[base + start : base + stop].tolist()])
-        if index.marks[t][0] <= numbers and index.marks[t][1] == kinds:
+        numbers, kinds, names = marks([named[w] for w in plain[base + start : base + stop].tolist()])
+        if index.marks[t][0] <= numbers and index.marks[t][1] == kinds and index.marks[t][2] <= names:
             found.setdefault(r, []).append((matched, t, base + start, base + stop))
     for r, matches in sorted(found.items()):
         kept = []
@@ -223,7 +278,8 @@ def scan(
 ) -> DataFrame:
     """One row for each license notice found: id, license, coverage, matched words, start and stop as bytes of the text.
 
-    Matches that overlap a longer one of their document are left out. Documents
+    Matches that overlap a longer one of their document are left out; of equally
+    long ones the template that comes first stays, then the earlier place. Documents
     without a match, null and empty texts have no row; repeated rows repeat their
     matches.
     """

@@ -259,6 +259,14 @@ def test_licenses_of_a_family_and_edited_short_notices():
         gnu.format("", "2"): "GPL-2.0", gnu.format("", "3"): "GPL-3.0", gnu.format("Lesser ", "3"): "LGPL-3.0", gnu.format("Lesser ", "2.1"): "LGPL-2.1",
         gnu.format("Affero ", "3"): "AGPL-3.0", gnu.format("", "9"): None, "Licensed under the Apache License, Version 9.9": None,
         license_scan.TEMPLATES["GPL-3.0 header"].replace("version 3", "version 2"): "GPL-2.0 header",
+        "Released under the BSD License": "BSD", "Released under the BSD 3-Clause License": "BSD-3-Clause", "Released under the GNU License": None,
+        "Released under the 2-Clause BSD License": "BSD-2-Clause turned", "licensed under the eclipse license version 2.0": "EPL-2.0",
+        "Licensed under the Mozilla Public License 2.0": "MPL-2.0", "Released under the ISC License": "ISC", "Released under the XYZ License": None,
+        "Licensed under the GPL v3": "GPL-3.0 abbreviated", "Released under the GPLv3": "GPL-3.0 in a word, released",
+        "Licensed under the LGPL v2.1": "LGPL-2.1 abbreviated", "Licensed under the GPL-2.0": "GPL-2.0 by version", "Licensed under the GPL": None,
+        "SPDX-License-Identifier: Apache-2.0": "Apache-2.0 tag", "SPDX-License-Identifier: MIT": "MIT tag", "Licensed under the lease, version 2.0": None,
+        "SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause tag", "SPDX-License-Identifier: CC-BY-NC-4.0": "CC-BY-NC-4.0 tag",
+        "SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0 tag", "He was released under the new license act": None,
     }
     index = license_scan.Index(license_scan.TEMPLATES)
     found = {}
@@ -267,6 +275,40 @@ def test_licenses_of_a_family_and_edited_short_notices():
     assert found == {r: [name] for r, name in enumerate(cases.values()) if name}
 
 
+def _full_table(template, text):
+    """Best score of an alignment with free ends of the text, and the numbers of matched words that reach it, cell by cell."""
+    row = [(0.0, {0})] * (len(text) + 1)
+    for word in template:
+        new = [(row[0][0] - 0.5, row[0][1])]
+        for j, other in enumerate(text, 1):
+            ways = [(row[j][0] - 0.5, row[j][1]), (new[j - 1][0] - 0.5, new[j - 1][1])]
+            same = word == other
+            ways.append((row[j - 1][0] + (1 if same else -0.5), {m + same for m in row[j - 1][1]}))
+            top = max(s for s, _ in ways)
+            new.append((top, set().union(*(m for s, m in ways if s == top))))
+        row = new
+    top = max(s for s, _ in row)
+    return set().union(*(m for s, m in row if s == top))
+
+
+def test_alignment_of_words_matches_the_full_table():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        template, text = rng.integers(1, 6, rng.integers(1, 9)), rng.integers(1, 6, rng.integers(1, 14))
+        matched, start, stop = license_scan.align(template, text, 0, len(template) + len(text))
+        assert matched in _full_table(template.tolist(), text.tolist())
+        assert matched == 0 or matched <= stop - start
+
+
+def test_every_template_is_found_as_itself_or_as_its_license():
+    index = license_scan.Index(license_scan.TEMPLATES)
+    texts = [f"before it, {t} . after it" for t in license_scan.TEMPLATES.values()]
+    found = {}
+    for r, t, *_ in license_scan.find(index, pa.array(texts, pa.string())):
+        found.setdefault(r, []).append(index.names[t])
+    assert [found.get(r) for r in range(len(texts))] == [[name] for name in license_scan.TEMPLATES]
+
+
 def test_license_on_odd_rows(spark):
     assert license_scan.scan(odd_frame(spark)).count() == 0
     twice = odd_frame(spark).limit(2).withColumn("text", F.lit("Released under the MIT License."))
