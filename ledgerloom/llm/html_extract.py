@@ -8,8 +8,11 @@ the entropy of its own presentation with the mean importance of the blocks below
 Branches of low importance are cut out of each page, beside what tags and classes
 mark as furniture.
 
-Pages with the same main text count once in the tree. A branch that belongs to the
-article element is only cut where it has a class or id and its blocks hardly differ.
+Pages with the same main text count once in the tree. Where a page has an article or
+main element, text outside of it is not main text. A branch that belongs to the
+article is only cut where it has a class or id and its blocks hardly differ, or where
+a word of its class speaks for furniture and another for something else (menu-review)
+and its blocks mostly repeat.
 """
 
 from __future__ import annotations
@@ -53,7 +56,16 @@ MARKED = set(
     "disqus pagination pager toc toolbar".split()
 )
 ARTICLE = {"article", "main"}
-LEAST_PAGES = 8
+# Words beside a marked one that leave its meaning: a class of nothing else is furniture wherever it stands.
+NEUTRAL = set(
+    "area bar block body box btn button buttons col column container content entry feed footer form group header icon icons inner item items "
+    "label left link links list main outer panel placeholder post posts right row section site slot small text title top bottom unit wrap wrapper "
+    "article articles story stories page author meta media thread count cta".split()
+)
+# Ends the name of an element whose class holds a marked word among others; in an article the tree decides on it.
+DOUBTFUL = "~"
+# A path is taken to have been seen on this many more pages, each with a content of its own: few pages are little evidence.
+UNSEEN = 0.5
 LOW = 0.25
 LOW_IN_ARTICLE = 0.02
 GAMMA = 0.9
@@ -78,8 +90,11 @@ def names_of(attributes: str) -> tuple[list[str], str]:
     return words, role
 
 
-def marks_furniture(words: list[str]) -> bool:
-    return any(part in MARKED for w in words for part in re.split(r"[^a-z]+", w))
+def marks_furniture(words: list[str]) -> tuple[bool, bool]:
+    """Whether a word of class or id holds a marked one, and whether one holds nothing of another meaning beside it."""
+    parts = [[p for p in re.split(r"[^a-z]+", w) if p] for w in words]
+    marked = [p for p in parts if MARKED.intersection(p)]
+    return bool(marked), any(MARKED.union(NEUTRAL).issuperset(p) for p in marked)
 
 
 class Page:
@@ -157,11 +172,15 @@ class Page:
         words, role = names_of(attributes) if attributes else ([], "")
         _, path, furniture, article, children = self.stack[-1]
         name = ".".join([tag, *sorted({re.sub(r"\d+", "#", w) for w in words})])
+        within = article
+        marked, surely = marks_furniture(words) if words and tag not in ("html", "body", "main") else (False, False)
+        if marked and within and not surely:
+            name += DOUBTFUL
         if not children or children[-1] != name:
             children.append(name)
         article = article or tag in ARTICLE or role in ("main", "article")
         furniture = furniture or tag in FURNITURE or role in ROLES or (tag == "header" and not article)
-        furniture = furniture or (tag not in ("html", "body", "main") and bool(words) and marks_furniture(words))
+        furniture = furniture or (surely if within else marked)
         self.stack.append((tag, f"{path}/{name}", furniture, article, []))
 
     def _end(self, tag: str) -> None:
@@ -234,18 +253,20 @@ def tree_rows(pages: DataFrame) -> DataFrame:
     return pages.select("host", "html").mapInPandas(run, "host string, page long, path string, block boolean, digest long, article boolean")
 
 
-def low_branches(rows: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """host and the array of its paths of low importance; hosts without one have no row.
+def importances(rows: DataFrame) -> DataFrame:
+    """host, branch, article and importance of every branch with a block below it.
 
-    A content seen on c of the m pages of a path has entropy log c / log m, a
-    path's content importance is one less the mean over its blocks. Presentation
-    importance is the entropy of the children's names over the pages, to the base
-    m. A branch takes both, the more from the blocks below the fewer styles it has.
+    A content seen on c of the m pages of a path has entropy log c / log (m + ``UNSEEN``), a
+    path's content importance is one less the mean over its blocks: one that all pages repeat
+    counts for more the fewer the pages are. Presentation importance is the entropy of the
+    children's names over the pages, to the base m. A branch takes both, the more from the
+    blocks below the fewer styles it has. Nothing is repeated on a single page, so nothing of
+    it is of low importance.
     """
     seen = rows.groupBy("host", "path", "block", "digest", "page").agg(F.max("article").alias("article"))
     counts = seen.groupBy("host", "path", "block", "digest").agg(F.count("*").alias("c"), F.max("article").alias("article"))
     pages = seen.select("host", "path", "block", "page").distinct().groupBy("host", "path", "block").agg(F.count("*").alias("m"))
-    spread = F.when(F.col("m") > 1, F.log("c") / F.log("m")).otherwise(0.0)
+    spread = F.log("c") / F.log(F.col("m") + UNSEEN)
     share = F.col("c") / F.col("m")
     # Only how many contents there are of each count matters: a few rows for a path, however many pages it has.
     kinds = counts.groupBy("host", "path", "block", "c").agg(F.count("*").alias("k"), F.max("article").alias("article"))
@@ -254,7 +275,7 @@ def low_branches(rows: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     content = (
         with_m.where("block")
         .groupBy("host", "path")
-        .agg(F.sum(seen_on * (1 - spread)).alias("told"), F.sum(seen_on).alias("n"), F.max("m").alias("m"), F.max("article").alias("article"))
+        .agg(F.sum(seen_on * (1 - spread)).alias("told"), F.sum(seen_on).alias("n"), F.max("article").alias("article"))
     )
     presentation = (
         with_m.where("not block")
@@ -268,18 +289,20 @@ def low_branches(rows: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     # Every block counts for all branches above it.
     depth = F.size(F.split("path", "/"))
     above = content.withColumn("upto", F.explode(F.sequence(F.lit(2), depth))).select(
-        "host", F.array_join(F.slice(F.split("path", "/"), F.lit(1), F.col("upto")), "/").alias("branch"), "told", "n", "m", "article"
-    )
-    below = above.groupBy("host", "branch").agg(
-        (F.sum("told") / F.sum("n")).alias("content"), F.max("m").alias("m"), F.max("article").alias("article")
+        "host", F.array_join(F.slice(F.split("path", "/"), F.lit(1), F.col("upto")), "/").alias("branch"), "told", "n", "article"
     )
+    below = above.groupBy("host", "branch").agg((F.sum("told") / F.sum("n")).alias("content"), F.max("article").alias("article"))
     both = below.join(presentation.withColumnRenamed("path", "branch"), ["host", "branch"], "left")
     kept = F.pow(F.lit(GAMMA), F.coalesce("styles", F.lit(0)))
     importance = (1 - kept) * F.coalesce(F.greatest("alone", "varied"), F.lit(0.0)) + kept * F.col("content")
-    named = F.element_at(F.split("branch", "/"), -1).contains(".")
-    bound = F.when(~F.col("article"), LOW).when(named, LOW_IN_ARTICLE).otherwise(-1.0)
-    low = both.where((F.col("m") >= least_pages) & (importance < bound))
-    return low.groupBy("host").agg(F.collect_set("branch").alias("low"))
+    return both.select("host", "branch", "article", importance.alias("importance"))
+
+
+def low_branches(rows: DataFrame) -> DataFrame:
+    """host and the array of its paths of low importance; hosts without one have no row."""
+    last = F.element_at(F.split("branch", "/"), -1)
+    bound = F.when(~F.col("article") | last.endswith(DOUBTFUL), LOW).when(last.contains("."), LOW_IN_ARTICLE).otherwise(-1.0)
+    return importances(rows).where(F.col("importance") < bound).groupBy("host").agg(F.collect_set("branch").alias("low"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -287,7 +310,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     White space (space and 0x09 to 0x0D) inside a block becomes one space. A null
     or empty page has an empty text. Rows without a url share a tree. Repeated
-    rows give repeated results; other columns are not read.
+    rows give repeated results; other columns are not read. A host's pages are
+    weighed from the second one on, with what they say growing with their number.
     """
     source = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html")

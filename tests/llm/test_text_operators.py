@@ -163,6 +163,53 @@ def test_tree_cuts_what_all_pages_repeat(spark):
     assert all(t == f"Text number {i} of {i * 7}" for i, t in zip(out.page_id, out.text))
 
 
+def _pages(spark, bodies, host="h"):
+    data = [(i, f"http://{host}.example/{i}", f"<body>{b}</body>") for i, b in enumerate(bodies)]
+    return spark.createDataFrame(data, "page_id long, url string, html string")
+
+
+def _texts(pages):
+    return [r["text"] for r in html_extract.extract(pages).orderBy("page_id").collect()]
+
+
+@pytest.mark.parametrize("n", [2, 3, 6, 30])
+def test_small_hosts_lose_what_they_repeat_as_large_ones_do(spark, n):
+    bodies = [f"<div class=x><p>Same words on every page</p></div><div class=y><p>Text number {i} of {i * 7}</p></div>" for i in range(n)]
+    assert _texts(_pages(spark, bodies)) == [f"Text number {i} of {i * 7}" for i in range(n)]
+
+
+def test_a_single_page_keeps_all_its_text(spark):
+    assert _texts(_pages(spark, ["<div class=x><p>One</p></div><div class=y><p>Two</p></div>"])) == ["One\n\nTwo"]
+
+
+def test_class_words_within_an_article_need_the_tree(spark):
+    inside = (
+        "<article><p>Start {0}</p><div class='media-share-price'><p>Shares rose by {0}</p></div><section class='menu-review'><p>Soup number {0}</p></section>"
+        "<div class='share-hints'><p>Tell all your friends</p></div><div class='related-posts'><p>Other text {0}</p></div><div class=comments><p>Nice {0}</p></div></article>"
+    )
+    want = "Start {0}\n\nShares rose by {0}\n\nSoup number {0}"
+    n = 5
+    assert _texts(_pages(spark, [inside.format(i) for i in range(n)])) == [want.format(i) for i in range(n)]
+    # Without other pages nothing speaks against the doubtful one.
+    assert _texts(_pages(spark, [inside.format(7)])) == [want.format(7) + "\n\nTell all your friends"]
+
+
+def test_importances_by_hand(spark):
+    # Four pages: div.a repeats one text on three of them, div.b differs; b has one style, a two (a list on the last page).
+    bodies = [f"<div class=a><p>{'same' if i < 3 else 'other'}</p>{'<ul><li>x</li></ul>' if i == 3 else ''}</div><div class=b><p>own {i}</p></div>" for i in range(4)]
+    rows = html_extract.tree_rows(_pages(spark, bodies).selectExpr("'h' AS host", "html"))
+    got = {r["branch"]: r["importance"] for r in html_extract.importances(rows).collect()}
+    log, m = np.log, 4 + html_extract.UNSEEN
+    paragraph = 1 - (3 * log(3) / log(m) + 1 * 0) / 4
+    assert got["/body/div.a/p"] == pytest.approx(paragraph)
+    assert got["/body/div.b/p"] == pytest.approx(1.0)
+    # The list was seen on one page: its own importance is whole. Five blocks lie below div.a.
+    content = (4 * paragraph + 1) / 5
+    varied = -(0.75 * log(0.75) + 0.25 * log(0.25)) / log(4)
+    assert got["/body/div.a"] == pytest.approx((1 - 0.9**2) * varied + 0.9**2 * content)
+    assert got["/body/div.b"] == pytest.approx((1 - 0.9) * 0 + 0.9 * 1.0)
+
+
 def test_odd_pages(spark):
     sources = [None, "", "plain text", "<", "<p", "<!-- open", "<script>x", "<p class='a", "</p></div>", "<article></article>", "a" * 100_000, "<div>" * 3000 + "deep"]
     data = [(i, None if i % 2 else f"http://A.example/{i}", s, "clash", "clash") for i, s in enumerate(sources)] + [(None, "no url", "<p>x</p>", "a", "b")] * 2
