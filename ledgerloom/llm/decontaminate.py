@@ -4,7 +4,8 @@ If a piece of a document is an item of m characters with at most k edits, the tw
 share at least m + 1 - (k + 1) q of their q-grams, on diagonals at most k apart.
 Shared q-grams are counted in bands of diagonals 2k wide, each overlapping the
 next by half; bands that meet the bound are aligned within the band, and kept when
-the alignment stays within the edit budget.
+the alignment stays within the edit budget. Items shorter than a q-gram allow no edit;
+they are looked up whole, as words of their own.
 
 The benchmark is the query side: it is taken in blocks of bounded text, each
 carried to all documents; documents are never moved.
@@ -70,9 +71,23 @@ def grams(data: np.ndarray, offsets: np.ndarray, q: int) -> tuple[np.ndarray, np
     return code ^ (code >> np.uint64(29)), inside
 
 
+def packed(data: np.ndarray, width: int) -> np.ndarray:
+    """The ``width`` bytes (at most 8) from each place on as one exact number."""
+    n = max(0, len(data) - width + 1)
+    code = np.zeros(n, np.uint64)
+    for j in range(width):
+        code = (code << np.uint64(8)) | data[j : j + n].astype(np.uint64)
+    return code
+
+
+# Bytes that go on with a word: letters and digits of ASCII, and all of other scripts.
+WORDLIKE = np.zeros(256, bool)
+WORDLIKE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
 @dataclass
 class Index:
-    """The q-grams of a block of items, sorted by hash, and the items themselves."""
+    """The q-grams of a block of items, sorted by hash, and the items themselves; short items by their length."""
 
     ids: np.ndarray
     sizes: np.ndarray
@@ -85,10 +100,17 @@ class Index:
     places: np.ndarray
     bitmap: np.ndarray
     q: int
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
 
 def build(ids: list[int], texts: list[str], q: int = Q, rate: float = RATE) -> Index:
-    """Index items. Items too short for the bound get the largest budget for which it is at least one."""
+    """Index items. Items too short for the bound get the largest budget for which it is at least one.
+
+    Items of less than q bytes, once white space is single, have no q-gram: for each length they are sorted by all
+    their bytes. Blank items are in neither.
+    """
+    if not 1 <= q <= 8:
+        raise ValueError("q-grams have one to eight bytes")
     data, offsets, _ = plain(pa.array(texts, pa.string()))
     sizes = np.diff(offsets)
     edits = np.minimum((sizes * rate).astype(np.int64), np.maximum(sizes // q - 1, 0))
@@ -102,8 +124,14 @@ def build(ids: list[int], texts: list[str], q: int = Q, rate: float = RATE) -> I
     bitmap = np.zeros(BITMAP, bool)
     bitmap[(codes & np.uint64(BITMAP - 1)).astype(np.int64)] = True
     cut = [data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+    short = {}
+    for width in sorted(set(sizes[(sizes > 0) & (sizes < q)].tolist())):
+        mine = np.flatnonzero(sizes == width)
+        whole = np.array([int.from_bytes(cut[i], "big") for i in mine], np.uint64)
+        order = np.argsort(whole, kind="stable")
+        short[width] = (whole[order], mine[order])
     return Index(
-        np.array(ids, np.int64), sizes, edits, need, cut, codes, np.append(starts, len(at)), item, at - offsets[item], bitmap, q
+        np.array(ids, np.int64), sizes, edits, need, cut, codes, np.append(starts, len(at)), item, at - offsets[item], bitmap, q, short
     )
 
 
@@ -149,6 +177,35 @@ def align(item: bytes, text: bytes, most: int, low: int, high: int) -> tuple[int
     return int(cost[best]), int(start[best]), len(item) + low + best
 
 
+def find_short(index: Index, data: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], list[int]]:
+    """(row, item number) and the places in the row of items under q bytes.
+
+    A letter or digit of ASCII at an end of an item must not go on with a word there.
+    """
+    found: dict[tuple[int, int], list[int]] = {}
+    if not index.short:
+        return found
+    wordlike = np.concatenate([[False], WORDLIKE[data], [False]])
+    first = np.zeros(len(data) + 1, bool)
+    first[offsets] = True
+    for width, (whole, items) in index.short.items():
+        code = packed(data, width)
+        low, high = np.searchsorted(whole, code, "left"), np.searchsorted(whole, code, "right")
+        at = np.flatnonzero(high > low)
+        row = np.searchsorted(offsets, at, "right") - 1
+        goes_on = wordlike[at] & ~first[at] & WORDLIKE[data[at]] & (data[at] < 128)
+        last = data[at + width - 1]
+        goes_on |= wordlike[at + width + 1] & ~first[at + width] & WORDLIKE[last] & (last < 128)
+        fits = (at + width <= offsets[row + 1]) & ~goes_on
+        for a, r in zip(at[fits].tolist(), row[fits].tolist()):
+            for i in items[low[a] : high[a]].tolist():
+                places = found.setdefault((r, i), [])
+                # Places are in order: one that overlaps the last is left out.
+                if not places or a - int(offsets[r]) >= places[-1] + width:
+                    places.append(a - int(offsets[r]))
+    return found
+
+
 def find(index: Index, column: pa.Array):
     """(row, item number, start, stop, edits) of every item found in a slice of texts; places are bytes of the text."""
     data, offsets, origin = plain(column)
@@ -187,8 +244,14 @@ def find(index: Index, column: pa.Array):
         if hit:
             edits, start, stop = hit
             found.setdefault((r, i), []).append((edits, start, stop))
-    for (r, i), hits in sorted(found.items()):
-        free = []
+    short = find_short(index, data, offsets)
+    for r, i in sorted([*found, *short]):
+        if (r, i) in short:
+            size, base = int(index.sizes[i]), int(offsets[r])
+            for start in short[r, i]:
+                yield r, i, int(origin[base + start]), int(origin[base + start + size - 1]) + 1, 0
+            continue
+        hits, free = found[r, i], []
         for edits, start, stop in sorted(hits):
             if all(stop <= s or start >= e for _, s, e in free):
                 free.append((edits, start, stop))
@@ -199,7 +262,7 @@ def find(index: Index, column: pa.Array):
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, q: int, rate: float, most_bytes: int, most_items: int):
     """Indexes of the items, a block at a time; the driver never holds more than one block's text."""
-    items = benchmark.where(F.col(id_col).isNotNull() & (F.length(text_col) >= q)).select(
+    items = benchmark.where(F.col(id_col).isNotNull() & (F.octet_length(text_col) > 0)).select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")
     )
     ids, texts, size = [], [], 0
@@ -223,10 +286,11 @@ def contaminated(
     Columns: the document's id, item_id, start and stop (bytes of the text as it
     is), edits, item_chars. A-Z and a-z are alike, and so are runs of white space.
     The budget is ``rate`` edits for each byte of the item, less for items under
-    about ten q-grams. Null and empty texts hold nothing; items that are null,
-    without an id or shorter than q are not searched for; repeated rows of either
-    side give repeated documents and single items. Overlapping places of an item
-    count as its best one.
+    about ten q-grams and none for items under q bytes, which have to stand as words
+    of their own. Null and empty texts hold nothing; items that are null, blank or
+    without an id are not searched for; repeated rows of either side give repeated
+    documents and single items. Overlapping places of an item count as its best
+    one, of equally good ones as the first.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()

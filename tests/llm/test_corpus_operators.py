@@ -288,6 +288,32 @@ def test_blocks_give_what_one_index_gives(spark, items):
     assert decontaminate.contaminated(docs, bench.where("false")).count() == 0
 
 
+def test_short_items_are_found_as_whole_words(spark):
+    short = ["日本語の試", "cat", "A b", "é", "no. 7", "ああ", "x", "   ", "cat", "日本"]
+    index = decontaminate.build(list(range(len(short))), short)
+    texts = [
+        "Diese 日本語の試験 ist da", "concatenate cats Cat", "(cat) cat's CAT", "a\n\tB and aab b", "café é", "No.  7 no. 75", "あああああ", None, "", "x",
+        "scat " * 500 + "cat", "xcatx\ncat", "ca", "t",
+    ]
+    got = sorted({(r, i) for r, i, *_ in decontaminate.find(index, pa.array(texts, pa.string()))})
+    norm = lambda s: " ".join(words(lower(s or "")))
+
+    def holds(item, text):
+        edge = "0-9A-Za-z\u0080-\U0010ffff"
+        before = f"(?<![{edge}])" if re.match("[0-9a-z]", item) else ""
+        after = f"(?![{edge}])" if re.search("[0-9a-z]$", item) else ""
+        return bool(item) and bool(re.search(before + re.escape(item) + after, text))
+
+    assert got == [(r, i) for r, t in enumerate(texts) for i, s in enumerate(short) if holds(norm(s), norm(t))]
+    places = [(r, s, e, k) for r, i, s, e, k in decontaminate.find(index, pa.array(texts, pa.string())) if i in (3, 5, 2)]
+    assert all(k == 0 for *_, k in places)
+    assert [texts[r].encode()[s:e].decode() for r, s, e, _ in places] == ["a\n\tB", "é", "é", "ああ", "ああ"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "cat"), (2, "日本語の試"), (3, "  "), (4, ""), (None, "x")], "item_id long, text string")
+    assert {(r[0], r[1]) for r in decontaminate.contaminated(docs, bench).collect()} == {(0, 2), (1, 1), (2, 1), (10, 1), (11, 1)}
+    assert {r[0] for r in decontaminate.remove_contaminated(docs, bench).collect()} == set(range(len(texts))) - {0, 1, 2, 10, 11}
+
+
 def test_decontamination_of_odd_rows(spark, items):
     bench = spark.createDataFrame(items, "item_id long, text string")
     frame = odd_frame(spark)
